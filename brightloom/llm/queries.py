@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix, quality, shard
+from . import jaccard, mix, quality, shard
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return joined.select("doc_id", "class_id", "group_id", "n_links", "n_class_links")
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = shard.keyed(docs).select("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), "_size", "_key")
@@ -33,7 +38,7 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_pivotal_mix": op3_pivotal_mix, "op8_histogram_shards": op8_histogram_shards, "op9_quality_trees": op9_quality_trees}
+    return {"op3_pivotal_mix": op3_pivotal_mix, "op7_jaccard_forest": op7_jaccard_forest, "op8_histogram_shards": op8_histogram_shards, "op9_quality_trees": op9_quality_trees}
 
 
 def oracle_sql() -> dict[str, str]:
