@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, mix, quality, shard
+from . import decontaminate, jaccard, mix, quality, shard
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return joined.select("doc_id", "class_id", "group_id", "n_links", "n_class_links")
@@ -38,7 +42,7 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_pivotal_mix": op3_pivotal_mix, "op7_jaccard_forest": op7_jaccard_forest, "op8_histogram_shards": op8_histogram_shards, "op9_quality_trees": op9_quality_trees}
+    return {"op3_pivotal_mix": op3_pivotal_mix, "op4_qgram_decontamination": op4_qgram_decontamination, "op7_jaccard_forest": op7_jaccard_forest, "op8_histogram_shards": op8_histogram_shards, "op9_quality_trees": op9_quality_trees}
 
 
 def oracle_sql() -> dict[str, str]:
