@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, store, tokens
@@ -186,3 +186,19 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     facts = facts.join(heads, "root").select("class", F.col("rep").alias("class_id"), "group_id", "root", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"))
     out = rows.select("doc_id", "class").join(store.cut(facts), "class", "left")
     return out.select("doc_id", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"), "root")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group (that of least id), with its own columns; texts without words all stay."""
+    rows = joined(docs, id_col, text_col).where("class IS NOT NULL")
+    own = rows.groupBy("root", "doc_id", "class").agg(F.count("*").alias("_same"))
+    first = own.groupBy("root").agg(F.min(F.struct("doc_id", "class", "_same")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.class").alias("_cls"), F.col("w._same").alias("_same"))
+    first = store.cut(first)
+    text = F.col(text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_d"), F.xxhash64(text).alias("_c"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
+    kept = packed.where("_worded").join(first, (F.col("_c") == F.col("_cls")) & F.col("_d").eqNullSafe(F.col("_id")))
+    out = kept.where("_same = 1").select("_row")
+    if not first.where("_same > 1").isEmpty():  # repeated rows of one id and text: one of them
+        order = Window.partitionBy("_cls", "_id").orderBy(F.xxhash64("_row"))
+        out = out.unionByName(kept.where("_same > 1").withColumn("_n", F.row_number().over(order)).where("_n = 1").select("_row"))
+    return out.unionByName(packed.where("NOT _worded").select("_row")).select("_row.*")
