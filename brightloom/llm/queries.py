@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mix, quality, shard
+from . import decontaminate, jaccard, mix, quality, shard, toxicity, urlrank
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrank.judged(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -23,6 +27,11 @@ def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = jaccard.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return joined.select("doc_id", "class_id", "group_id", "n_links", "n_class_links")
@@ -42,7 +51,7 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_pivotal_mix": op3_pivotal_mix, "op4_qgram_decontamination": op4_qgram_decontamination, "op7_jaccard_forest": op7_jaccard_forest, "op8_histogram_shards": op8_histogram_shards, "op9_quality_trees": op9_quality_trees}
+    return {"op1_link_trust": op1_link_trust, "op6_ordinal_toxicity": op6_ordinal_toxicity, "op3_pivotal_mix": op3_pivotal_mix, "op4_qgram_decontamination": op4_qgram_decontamination, "op7_jaccard_forest": op7_jaccard_forest, "op8_histogram_shards": op8_histogram_shards, "op9_quality_trees": op9_quality_trees}
 
 
 def oracle_sql() -> dict[str, str]:
