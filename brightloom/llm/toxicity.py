@@ -27,6 +27,8 @@ from . import store, tokens
 MAX_TRAIN_ROWS, MAX_WORDS = 20_000, 1 << 16
 MIN_DOCUMENTS = 5
 GRADES = 4
+#: Words enter the regression if their documents differ between the classes by at least this chi-square (1 degree of freedom).
+CHI_SQUARE = 20.0
 
 #: Lower-cases A-Z and turns every other ASCII byte but letters and digits into a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -70,6 +72,14 @@ def graded(row: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.ndarr
     return np.where(toxic > 0, 1 + np.searchsorted(cuts, share, "left"), 0)
 
 
+def associated(row: np.ndarray, word: np.ndarray, toxic: np.ndarray, n_words: int) -> np.ndarray:
+    """Which words pass CHI_SQUARE."""
+    n, bad = len(toxic), toxic.sum()
+    a, df = np.bincount(word, toxic[row], n_words), np.bincount(word, minlength=n_words)
+    spread = bad * (n - bad) * df * (n - df)
+    return n * (n * a - bad * df) ** 2 >= CHI_SQUARE * np.maximum(spread, 1)
+
+
 def fit(row: np.ndarray, word: np.ndarray, count: np.ndarray, grade: np.ndarray, n_words: int, rounds: int = 200, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the penalised likelihood of the cumulative-link model."""
     x = np.log1p(count)
@@ -129,6 +139,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     row, word, count, toxic = rank[row[keep]], at[keep], n[keep].astype(float), toxic[order]
+    passed = associated(row, word, toxic, len(known))
+    if not passed.any():
+        return None
+    keep = passed[word]
+    row, word, count, known = row[keep], (np.cumsum(passed) - 1)[word[keep]], count[keep], known[passed]
     w, theta = fit(row, word, count, graded(row, word, count, toxic, len(known)), len(known))
     known = known.view(np.uint64)
     order = np.argsort(known)
