@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mix, quality, shard, toxicity, urlrank
+from . import decontaminate, jaccard, mix, quality, shard, suffixtree, toxicity, urlrank
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,12 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *quality.COUNTS, "base_failed", "kept", "p_low")
 
 
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_link_trust": op1_link_trust, "op6_ordinal_toxicity": op6_ordinal_toxicity, "op3_pivotal_mix": op3_pivotal_mix, "op4_qgram_decontamination": op4_qgram_decontamination, "op7_jaccard_forest": op7_jaccard_forest, "op8_histogram_shards": op8_histogram_shards, "op9_quality_trees": op9_quality_trees}
+    return {"op1_link_trust": op1_link_trust, "op6_ordinal_toxicity": op6_ordinal_toxicity, "op3_pivotal_mix": op3_pivotal_mix, "op4_qgram_decontamination": op4_qgram_decontamination, "op7_jaccard_forest": op7_jaccard_forest, "op8_histogram_shards": op8_histogram_shards, "op9_quality_trees": op9_quality_trees, "op10_suffix_tree": op10_suffix_tree}
 
 
 def oracle_sql() -> dict[str, str]:
