@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of an Arrow batch handed to Python: bounds a worker's memory whatever a row's size.
-BATCH_ROWS = 4000
-BATCH_BYTES = 8 << 20
+BATCH_ROWS = 2000
+BATCH_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
