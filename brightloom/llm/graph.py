@@ -23,9 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = store.cut(least)  # so that both sides of the join are exchanged for it, and a hot node can be split
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = store.cut(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = store.cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = store.cut(small)

@@ -143,19 +143,21 @@ def _verify(threshold: float):
     return verify
 
 
-def links(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(class, links, classes, root), one row for each class and block pair in which it has links.
-
-    links: documents linked to it there; classes: different texts; root: least class it is connected to there."""
-    found = store.cut(found.join(classes.select("class", "rep", "rows", "n_shingles"), "class"))
-    sizes = found.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
+def dealt(members: DataFrame) -> tuple[DataFrame, int]:
+    """members(component, class, rows, n_shingles) with blocks and block; and how many packs the one-block components fill."""
+    members = store.cut(members)
+    sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("s") / BLOCK_SHINGLES))
     sizes = store.cut(sizes.withColumn("blocks", blocks))
     small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
     packs = max(1, -(-small["s"] // BLOCK_SHINGLES), -(-small["m"] // (4 * BLOCK_ROWS)))
-    found = found.join(sizes.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("class", F.lit(3)), "blocks"))
-    texts = docs.select(F.xxhash64(text_col).alias("_class"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = texts.join(found, (F.col("_class") == F.col("class")) & F.col("_id").eqNullSafe(F.col("rep"))).select("component", "class", "rows", "blocks", "block", "text")
+    return members.join(sizes.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("class", F.lit(3)), "blocks")), packs
+
+
+def verified(rows: DataFrame, packs: int, threshold: float = THRESHOLD) -> DataFrame:
+    """rows(component, class, rows, blocks, block, text) to (class, links, classes, root), a row for each class and block pair with links.
+
+    links: the `rows` of the classes linked to it there; classes: their number; root: least class it is connected to there."""
 
     def shingled(batches):
         for batch in batches:
@@ -163,13 +165,22 @@ def links(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold: floa
             sh, ptr = tokens.shingles(b.hashes(), b.ptr, SHINGLE)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([sh[ptr[i] : ptr[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())], ["component", "class", "rows", "blocks", "block", "shingles"])
 
-    rows = rows.mapInArrow(shingled, "component long, class long, rows long, blocks long, block long, shingles binary")
+    rows = rows.select("component", "class", "rows", "blocks", "block", "text").mapInArrow(shingled, "component long, class long, rows long, blocks long, block long, shingles binary")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.xxhash64("component", "low", "high"))
     return rows.select("component", "class", "rows", "block", "low", "high", "shingles", pack.alias("pack")).groupBy("pack").applyInArrow(_verify(threshold), "class long, links long, classes long, root long")
 
 
+def links(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`verified` for the candidate classes, whose texts are read from their representatives."""
+    members, packs = dealt(found.join(classes.select("class", "rep", "rows", "n_shingles"), "class"))
+    texts = docs.select(F.xxhash64(text_col).alias("_class"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
+    members = store.small(store.cut(members))
+    rows = texts.join(members, (F.col("_class") == F.col("class")) & F.col("_id").eqNullSafe(F.col("rep")))
+    return verified(rows, packs, threshold)
+
+
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, class (of equal texts), class_id (least id in it), group_id (least id
     connected to it by links), n_links (other documents linked to it, copies too), n_class_links (different texts linked)."""

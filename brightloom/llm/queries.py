@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mix, quality, shard, suffixtree, toxicity, urlrank
+from . import decontaminate, jaccard, mix, paragraphs, quality, shard, suffixes, suffixtree, toxicity, urlrank
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrank.judged(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
@@ -27,6 +31,10 @@ def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -55,7 +63,7 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_link_trust": op1_link_trust, "op6_ordinal_toxicity": op6_ordinal_toxicity, "op3_pivotal_mix": op3_pivotal_mix, "op4_qgram_decontamination": op4_qgram_decontamination, "op7_jaccard_forest": op7_jaccard_forest, "op8_histogram_shards": op8_histogram_shards, "op9_quality_trees": op9_quality_trees, "op10_suffix_tree": op10_suffix_tree}
+    return {"op1_link_trust": op1_link_trust, "op5_sparse_suffixes": op5_sparse_suffixes, "op6_ordinal_toxicity": op6_ordinal_toxicity, "op2_paragraph_minhash": op2_paragraph_minhash, "op3_pivotal_mix": op3_pivotal_mix, "op4_qgram_decontamination": op4_qgram_decontamination, "op7_jaccard_forest": op7_jaccard_forest, "op8_histogram_shards": op8_histogram_shards, "op9_quality_trees": op9_quality_trees, "op10_suffix_tree": op10_suffix_tree}
 
 
 def oracle_sql() -> dict[str, str]:

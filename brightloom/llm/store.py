@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch handed to Python: bounds a worker's memory whatever a row's size.
 BATCH_ROWS = 2000
@@ -41,5 +42,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, most)
 
 
+#: A table of at most so many rows, of a few numbers each, may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df` (cut before: it is counted) with a broadcast hint if it is below the bound; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
