@@ -28,11 +28,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a compressed Parquet table in the shared folder; for bulky columns."""
+def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """`df` as a Parquet table in the shared folder; for bulky columns. codec: snappy where binary columns are compressed already."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/brightloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.parquet(path)
 
 

@@ -261,7 +261,7 @@ def matched(suffixes: DataFrame) -> DataFrame:
             else:
                 yield edge(t.slice(max(0, len(t) - EDGE)))
 
-    found = store.written(ordered.mapInArrow(neighbours, f"doc_id {kind}, uid long, start long, end long, early boolean, seed long, right binary, left binary, pos long"))
+    found = store.written(ordered.mapInArrow(neighbours, f"doc_id {kind}, uid long, start long, end long, early boolean, seed long, right binary, left binary, pos long"), "snappy")
 
     def across(table: pa.Table) -> pa.Table:
         return compared(table.sort_by([(c, "ascending") for c in ORDER]))
@@ -278,7 +278,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     store.bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     parts = max(store.partitions(spark), rows.rdd.getNumPartitions())
-    suffixes = store.written(kept_suffixes(store.written(blocked(rows, parts)), parts))
+    suffixes = store.written(kept_suffixes(store.written(blocked(rows, parts), "snappy"), parts), "snappy")
     spans = matched(suffixes)
     order = Window.partitionBy("uid", "early").orderBy("start", "end")
     upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
