@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import numeric
 from .dedup import cut
 
 
@@ -29,10 +30,10 @@ def running(df: DataFrame, order: list[str], value: str, out: str, by: list[str]
         return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0.0)))
     ranged = cut(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_until"))
     w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(F.broadcast(before), "_range")  # one row a range: at most `ranges`
-    return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(w), F.lit(0.0))).drop("_range", "_before")
+    return joined.withColumn(out, F.col("_until") + F.coalesce(F.sum(value).over(w), F.lit(0.0))).drop("_range", "_until")
 
 
 def budget(df: DataFrame, order: list[str], value: str, target: float, by: list[str] | None = None) -> DataFrame:
@@ -56,7 +57,7 @@ def floor_quantiles(df: DataFrame, value: str, bins: int, by: list[str]) -> Data
     ranks = upto.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(bins - 1))))
     at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.col("_i") / bins))
     hit = ranks.where((at < F.col("_upto")) & (at >= F.col("_upto") - F.col("_c")))
-    return hit.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", value))), lambda x: x[value]).alias("boundaries"))
+    return hit.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(value).alias("_v")))), lambda x: x["_v"]).alias("boundaries"))
 
 
 def stratified(df: DataFrame, targets: dict[str, float], seed: int, ident: str, source: str = "dataset_id", duration: str = "duration", length: str = "words") -> DataFrame:
@@ -68,7 +69,7 @@ def stratified(df: DataFrame, targets: dict[str, float], seed: int, ident: str,
     rows = df.withColumn("_goal", goal).where("_goal IS NOT NULL")
     for value, bins, name in ((duration, 5, "_d"), (length, 4, "_l")):
         edges = floor_quantiles(rows, value, bins, [source]).withColumnRenamed("boundaries", f"{name}b")
-        rows = rows.join(edges, source).withColumn(name, F.size(F.filter(f"{name}b", lambda b, v=value: F.col(v) > b))).drop(f"{name}b")
+        rows = rows.join(edges, source).withColumn(name, numeric.bin_index(F.col(value), F.col(f"{name}b"))).drop(f"{name}b")
     path = F.col(ident).cast("string")
     stratum = F.format_string("(%d, %d)", F.col("_d"), F.col("_l"))
     rows = rows.withColumns({"_key": stable_key(seed, F.col(source), stratum, path), "_fill": stable_key(seed, F.col(source), F.lit("fill"), path)})
@@ -79,14 +80,13 @@ def stratified(df: DataFrame, targets: dict[str, float], seed: int, ident: str,
     rows = running(rows, ["_key"], duration, "_b", key)
     taken = rows.withColumn("_in", F.col("_b") < F.col("_share"))
     after = F.col("_b") + F.col(duration)
-    crossing = F.col("_in") & (after >= F.col("_share"))
     last = F.max(F.when(F.col("_in"), F.struct("_b", "_key"))).over(Window.partitionBy(*key))
     is_last = F.col("_in") & (F.struct("_b", "_key") == last)
     closer = F.abs(F.col("_b") - F.col("_share")) < F.abs(after - F.col("_share"))
-    taken = cut(taken.withColumn("_in", F.col("_in") & ~(is_last & closer)).withColumn("_cross", crossing))
+    taken = cut(taken.withColumn("_in", F.col("_in") & ~(is_last & closer)))
     have = taken.groupBy(source).agg(F.coalesce(F.sum(F.when(F.col("_in"), F.col(duration))), F.lit(0.0)).alias("_have"))
     rest = running(taken.where("NOT _in").join(have, source), ["_fill"], duration, "_f", [source])
-    fill = rest.where(F.col("_have") + F.col("_f") < F.col("_goal")).withColumn("_order", F.concat(F.lit("2"), F.lpad(F.cast(F.lit("string"), "string") if False else F.col("_fill"), 16, "0")))
+    fill = rest.where(F.col("_have") + F.col("_f") < F.col("_goal")).withColumn("_order", F.concat(F.lit("2"), F.col("_fill")))
     first = taken.where("_in").withColumn("_order", F.concat(F.lit("1"), F.col("_d").cast("string"), F.col("_l").cast("string"), F.col("_key")))
     keep = [*df.columns, "_goal", "_order"]
     both = first.select(*keep).unionByName(fill.select(*keep))

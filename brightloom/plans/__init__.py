@@ -1 +1,6 @@
-"""See the package README for the map of modules."""
+"""Queries over the Parquet tables: importing the modules fills the registry."""
+
+from . import corpus, matching, runs, selection
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "corpus", "matching", "runs", "selection"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,9 +36,10 @@ class Tables:
         return self.embeddings.select("vec_id", "label", F.transform("embedding", lambda v: (v.cast("double") * gain).cast("float")).alias("wave"))
 
     def curve(self) -> DataFrame:
-        """Line items as metric curves: an order is a run, a line a step."""
+        """Line items as metric curves: an order is a run, its lines in order are the steps."""
         c = F.col
-        return self.lineitem.select(c("l_orderkey").alias("run"), c("l_linenumber").alias("step"), c("l_discount").alias("wer"), c("l_tax").alias("cer"), (c("l_quantity") / 10).alias("loss"))
+        order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+        return self.lineitem.select(c("l_orderkey").alias("run"), F.row_number().over(order).alias("step"), c("l_discount").alias("wer"), c("l_tax").alias("cer"), (c("l_quantity") / 10).alias("loss"))
 
 
 UTTERANCES = """u AS (SELECT d.doc_id, concat('doc/', d.doc_id) AS audio_path, d.source AS dataset_id, concat(d.lang, '/', d.source) AS speaker_id,
@@ -46,7 +47,7 @@ UTTERANCES = """u AS (SELECT d.doc_id, concat('doc/', d.doc_id) AS audio_path, d
   CASE l.quality WHEN 1 THEN 'gold' WHEN 0 THEN 'silver' ELSE 'bronze' END AS tier, coalesce(l.toxic, 0) AS toxic
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 WAVES = "w AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(CAST(v AS DOUBLE) * pow(10.0, -(vec_id % 6)) AS FLOAT)) AS wave FROM embeddings)"
-CURVE = "c AS (SELECT l_orderkey AS run, l_linenumber AS step, l_discount AS wer, l_tax AS cer, l_quantity / 10 AS loss FROM lineitem)"
+CURVE = "c AS (SELECT l_orderkey AS run, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS INTEGER) AS step, l_discount AS wer, l_tax AS cer, l_quantity / 10 AS loss FROM lineitem)"
 
 
 def query(sql: str | None = None, name: str | None = None):

@@ -145,13 +145,13 @@ SCENARIOS = [(100, 1.0), (1000, 1.25), (10000, 1.25)]
 
 @query("""WITH h AS (SELECT p_partkey, p_size / 5.0 AS speed, 0.7 AS utilization, 1 + p_size % 8 AS gpus_a_server, p_retailprice / 1000 AS hourly FROM part), s(streams, redundancy) AS (VALUES (100, 1.0), (1000, 1.25), (10000, 1.25)),
  x AS (SELECT *, greatest(CAST(speed AS DOUBLE) * 0.7, 1e-9) AS e FROM h, s), g AS (SELECT *, CAST(ceil(streams * CAST(redundancy AS DOUBLE) / e) AS BIGINT) AS gpus FROM x)
-SELECT p_partkey, streams, gpus, CAST(ceil(gpus / gpus_a_server) AS BIGINT) AS servers, round(gpus * hourly * 730, 2) AS monthly_cost, round(gpus * hourly * 730 * 12, 2) AS annual_cost, round(hourly / e, 6) AS cost_per_audio_hour FROM g""")
+SELECT p_partkey, streams, gpus, CAST(ceil(gpus / gpus_a_server) AS BIGINT) AS servers, round(gpus * hourly * 730, 4) AS monthly_cost, round(gpus * hourly * 730 * 12, 4) AS annual_cost, round(hourly / e, 6) AS cost_per_audio_hour FROM g""")
 def capacity_plan(t: Tables) -> DataFrame:
     c = F.col
     hardware = t.part.select("p_partkey", (c("p_size") / 5.0).alias("speed"), F.lit(0.7).alias("utilization"), (1 + c("p_size") % 8).alias("gpus_a_server"), (c("p_retailprice") / 1000).alias("hourly"))
     scenarios = t.spark.createDataFrame(SCENARIOS, "streams int, redundancy double")
     out = telemetry.capacity_plan(hardware, scenarios)
-    return out.select("p_partkey", "streams", "gpus", "servers", rounded("monthly_cost", 2).alias("monthly_cost"), rounded("annual_cost", 2).alias("annual_cost"), rounded("cost_per_audio_hour").alias("cost_per_audio_hour"))
+    return out.select("p_partkey", "streams", "gpus", "servers", rounded("monthly_cost", 4).alias("monthly_cost"), rounded("annual_cost", 4).alias("annual_cost"), rounded("cost_per_audio_hour").alias("cost_per_audio_hour"))
 
 
 @query("SELECT p_brand, arg_min(p_partkey, (p_retailprice, p_partkey)) AS cheapest, arg_max(p_partkey, (p_size, p_partkey)) AS fastest FROM part GROUP BY ALL")
@@ -171,14 +171,14 @@ def training_eta(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", rounded(p["percent"]).alias("percent"), rounded(p["eta_seconds"]).alias("eta_seconds"))
 
 
-RECORDS = """WITH RECURSIVE o AS (SELECT l_suppkey AS g, l_quantity AS d, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS i FROM lineitem),
+RECORDS = """WITH RECURSIVE o AS (SELECT l_suppkey AS g, l_quantity AS d, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS i FROM lineitem),
  r(g, i, d, n, s) AS (SELECT g, i, d, CAST(0 AS BIGINT), d FROM o WHERE i = 1 UNION ALL SELECT o.g, o.i, o.d, CASE WHEN r.s >= 1800 THEN r.n + 1 ELSE r.n END, CASE WHEN r.s >= 1800 THEN o.d ELSE r.s + o.d END FROM r JOIN o ON o.g = r.g AND o.i = r.i + 1)
 SELECT g AS l_suppkey, CAST(n AS INTEGER) AS recording, count(*) AS clips, round(sum(d), 6) AS seconds FROM r GROUP BY ALL"""
 
 
 @query(RECORDS)
 def virtual_recordings(t: Tables) -> DataFrame:
-    rows = t.lineitem.select("l_suppkey", F.struct("l_orderkey", "l_linenumber").alias("at"), "l_quantity", "l_orderkey")
+    rows = t.lineitem.select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").alias("at"), "l_quantity", "l_orderkey")
     out = telemetry.recordings(rows, "l_suppkey", "at", "l_quantity", "l_orderkey", 1800.0)
     return out.select("l_suppkey", "recording", "clips", rounded("seconds").alias("seconds"))
 

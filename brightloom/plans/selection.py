@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import audit, sampling, scoring
+from ..operators import sampling, scoring
 from ..sources import readers
 from .base import UTTERANCES, Tables, query, rounded
 
@@ -190,8 +190,5 @@ def set_except(t: Tables) -> DataFrame:
 
 @query(f"{U} SELECT dataset_id, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val, count(*) FILTER (WHERE split = 'test') AS test FROM u GROUP BY ALL")
 def split_pivot(t: Tables) -> DataFrame:
-    return t.utterances().groupBy("dataset_id").pivot("split", ["train", "val", "test"]).agg(F.count("*")).na.fill(0)
+    return t.utterances().groupBy("dataset_id").pivot("split", ["train", "val", "test"]).agg(F.count(F.lit(1))).na.fill(0)
 
-
-def required(df: DataFrame) -> DataFrame:
-    return audit.require(df, ["audio_path", "text", "duration"])
