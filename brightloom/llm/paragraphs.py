@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import graph, jaccard, store, tokens
 
-LEAST, LONG, GAP, MIN_WORDS = 8, 16, 8, 25
+LEAST, LONG, GAP, MIN_WORDS = 8, 16, 12, 22
 THRESHOLD, TARGET_RECALL, MOST_KEYS = 0.8, 0.99, 48
 
 
