@@ -30,9 +30,10 @@ def score_of(rules: list[Rule], start: float | Column = 100.0) -> Column:
 
 def sample_rules(t: Column, duration: Column, similarity: Column | None = None, cer: Column | None = None, wer: Column | None = None) -> list[Rule]:
     s = stripped(t)
-    chars, cps = F.length(s), numeric.per_second(F.length(s), duration)
+    known = F.when(~F.isnan(duration), duration)  # NaN would count as larger than any number
+    chars, cps = F.length(s), numeric.per_second(F.length(s), known)
     rules = [
-        ("empty_transcript", s == "", 80.0), ("invalid_duration", ~numeric.finite(duration) | (duration <= 0), 80.0), ("long_utterance", duration > 30, 10.0),
+        ("empty_transcript", s == "", 80.0), ("invalid_duration", ~numeric.finite(duration) | (duration <= 0), 80.0), ("long_utterance", known > 30, 10.0),
         ("low_chars_per_second", cps < 2, 30.0), ("high_chars_per_second", cps > 35, 30.0), ("suspicious_symbols", text.suspicious(text.normalize(s)), 15.0),
         ("low_character_diversity", (text.distinct_chars(s) <= 2) & (chars > 10), 25.0),
     ]

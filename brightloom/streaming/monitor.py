@@ -39,7 +39,8 @@ def first_seen(df: DataFrame, time: str, late: str, *keys: str) -> DataFrame:
 
 
 def _stateful(df: DataFrame, key: str, order: str, fold: Callable, start: tuple, state: str, added: str) -> DataFrame:
-    schema = T.StructType([*df.schema.fields, *T._parse_datatype_string(added).fields])
+    extra_fields = T._parse_datatype_string(added).fields
+    schema, names = T.StructType([*df.schema.fields, *extra_fields]), [f.name for f in extra_fields]
 
     def step(_key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
         now = kept.get if kept.exists else start
@@ -49,7 +50,6 @@ def _stateful(df: DataFrame, key: str, order: str, fold: Callable, start: tuple,
             now, extra = fold(now, row)
             out.append(extra)
         kept.update(now)
-        names = [f.name for f in schema.fields[len(df.schema.fields) :]]
         yield pd.concat([rows.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
 
     return df.groupBy(key).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
