@@ -65,14 +65,43 @@ def materially_better(wer: Column, cer: Column, control_wer: Column, control_cer
 
 
 def winner(df: DataFrame, run: str, wer: str, cer: str, rate: str) -> DataFrame:
-    """The best run by error rate; the next one instead if both rates tie and its learning rate is lower."""
-    top = df.orderBy(F.asc_nulls_last(wer), F.asc_nulls_last(cer), run).limit(2)
-    order = Window.orderBy(F.asc_nulls_last(wer), F.asc_nulls_last(cer), run)
-    nxt = {c: F.lead(c).over(order) for c in (run, wer, cer, rate)}
-    pairs = top.withColumns({f"_{c}": x for c, x in nxt.items()} | {"_r": F.row_number().over(order)}).where("_r = 1")
-    tie = (F.abs(F.col(f"_{wer}") - F.col(wer)) <= WER_TIE) & (F.abs(F.col(f"_{cer}") - F.col(cer)) <= CER_TIE) & (F.col(f"_{rate}") < F.col(rate))
-    pick = F.coalesce(tie, F.lit(False))
-    return pairs.select(F.when(pick, F.col(f"_{run}")).otherwise(F.col(run)).alias(run), pick.alias("by_tie_break"))
+    """The best run by word error rate. If the next one is within WER_TIE, the lower character rate wins if they
+    differ by CER_TIE or more, else the lower learning rate: (run, reason)."""
+    order = (F.asc_nulls_last(wer), F.asc_nulls_last(cer), F.col(run))
+    w = Window.orderBy(*order)
+    top = df.orderBy(*order).limit(2)
+    pairs = top.withColumns({f"_{c}": F.lead(c).over(w) for c in (run, wer, cer, rate)} | {"_r": F.row_number().over(w)}).where("_r = 1")
+    tie = F.coalesce(F.abs(F.col(f"_{wer}") - F.col(wer)) < WER_TIE, F.lit(False))
+    material = F.abs(F.col(f"_{cer}") - F.col(cer)) >= CER_TIE
+    other = tie & F.when(material, F.col(f"_{cer}") < F.col(cer)).otherwise(F.col(f"_{rate}") < F.col(rate))
+    reason = F.when(~tie, "lowest_wer").when(material, "lower_cer").otherwise("lower_rate")
+    return pairs.select(F.when(other, F.col(f"_{run}")).otherwise(F.col(run)).alias(run), reason.alias("reason"))
+
+
+def collate(df: DataFrame, history: str) -> DataFrame:
+    """Adds train_loss_curve, validation_curve and best_validation (least wer, the earliest on ties) from an array of log entries
+    (step, loss, eval_loss, eval_wer, eval_cer): entries with a loss, and entries with an evaluation."""
+    h = F.col(history)
+    losses = F.transform(F.filter(h, lambda e: e["loss"].isNotNull()), lambda e: F.struct(e["step"].alias("step"), e["loss"].alias("loss")))
+    evaluations = F.filter(h, lambda e: e["eval_loss"].isNotNull())
+    ranked = F.transform(F.filter(evaluations, lambda e: e["eval_wer"].isNotNull()), lambda e: F.struct(e["eval_wer"].alias("wer"), e["step"].alias("step"), e["eval_cer"].alias("cer")))
+    return df.withColumns({"train_loss_curve": losses, "validation_curve": evaluations, "best_validation": F.array_min(ranked)})
+
+
+def promoted(df: DataFrame, stable: Column, n: int, *order: Column) -> DataFrame:
+    """The n best stable runs; raises if there is none."""
+    out = df.where(F.coalesce(stable, F.lit(False))).orderBy(*order).limit(n)
+    if out.isEmpty():
+        raise ValueError("no stable run to promote")
+    return out
+
+
+def phases(df: DataFrame, screen: Column, final: Column, n: int, *order: Column) -> DataFrame:
+    """Decision of each run after a screen and a full phase: reject, eligible or promote."""
+    kept = promoted(df.where(F.coalesce(screen, F.lit(False))), final, n, *order)
+    ids = kept.select(*df.columns).withColumn("_p", F.lit(True))
+    marks = df.join(F.broadcast(ids), df.columns, "left")  # at most n rows
+    return marks.withColumn("decision", F.when(F.col("_p"), "promote").when(screen & final, "eligible").otherwise("reject")).drop("_p")
 
 
 def learning_rate_label(x: Column) -> Column:

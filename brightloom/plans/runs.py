@@ -51,8 +51,8 @@ def loss_divergence(t: Tables) -> DataFrame:
 
 
 @query(f"""{C}, b AS (SELECT run, avg(wer) AS wer, avg(cer) AS cer, max(loss) AS rate FROM c GROUP BY ALL HAVING count(*) >= 7), o AS (SELECT *, row_number() OVER (ORDER BY wer, cer, run) AS r FROM b)
-SELECT CASE WHEN abs(y.wer - x.wer) <= 0.003 AND abs(y.cer - x.cer) <= 0.001 AND y.rate < x.rate THEN y.run ELSE x.run END AS run, abs(y.wer - x.wer) <= 0.003 AND abs(y.cer - x.cer) <= 0.001 AND y.rate < x.rate AS by_tie_break
- FROM o x JOIN o y ON x.r = 1 AND y.r = 2""")
+SELECT CASE WHEN abs(y.wer - x.wer) < 0.003 AND CASE WHEN abs(y.cer - x.cer) >= 0.001 THEN y.cer < x.cer ELSE y.rate < x.rate END THEN y.run ELSE x.run END AS run,
+ CASE WHEN abs(y.wer - x.wer) >= 0.003 THEN 'lowest_wer' WHEN abs(y.cer - x.cer) >= 0.001 THEN 'lower_cer' ELSE 'lower_rate' END AS reason FROM o x JOIN o y ON x.r = 1 AND y.r = 2""")
 def tie_break_winner(t: Tables) -> DataFrame:
     runs = t.curve().groupBy("run").agg(F.avg("wer").alias("wer"), F.avg("cer").alias("cer"), F.max("loss").alias("rate"), F.count("*").alias("n")).where("n >= 7")
     return experiments.winner(runs, "run", "wer", "cer", "rate")
@@ -194,3 +194,19 @@ def large_aggregate(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
         F.sum("l_quantity").alias("sum_qty"), rounded(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), rounded(F.avg("l_discount")).alias("avg_discount"), F.count("*").alias("rows")
     )
+
+
+@query(f"""{C} SELECT run, count(loss) AS losses, count(wer) AS evaluations, min({{'wer': wer, 'step': step, 'cer': cer}}).step AS best_step, min(wer) AS best_wer FROM c GROUP BY ALL""")
+def metrics_collation(t: Tables) -> DataFrame:
+    """Curves and the best evaluation of each run, from its log entries."""
+    entry = F.struct("step", "loss", F.col("wer").alias("eval_loss"), F.col("wer").alias("eval_wer"), F.col("cer").alias("eval_cer"))
+    logs = t.curve().groupBy("run").agg(F.array_sort(F.collect_list(entry)).alias("history"))
+    out = experiments.collate(logs, "history")
+    return out.select("run", F.size("train_loss_curve").cast("long").alias("losses"), F.size("validation_curve").cast("long").alias("evaluations"), F.col("best_validation.step").alias("best_step"), F.col("best_validation.wer").alias("best_wer"))
+
+
+@query(f"""{C}, b AS (SELECT run, avg(wer) AS wer, avg(cer) AS cer FROM c GROUP BY ALL HAVING count(*) >= 7), r AS (SELECT *, row_number() OVER (ORDER BY wer, run) AS r FROM b WHERE cer <= 0.05 AND wer <= 0.06)
+SELECT b.run, CASE WHEN r.r <= 2 THEN 'promote' WHEN b.cer <= 0.05 AND b.wer <= 0.06 THEN 'eligible' ELSE 'reject' END AS decision FROM b LEFT JOIN r USING (run)""")
+def promotion_phases(t: Tables) -> DataFrame:
+    b = t.curve().groupBy("run").agg(F.avg("wer").alias("wer"), F.avg("cer").alias("cer"), F.count("*").alias("n")).where("n >= 7").drop("n")
+    return experiments.phases(b, F.col("cer") <= 0.05, F.col("wer") <= 0.06, 2, F.col("wer"), F.col("run")).select("run", "decision")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric, text
-from ..operators import sampling, scoring
+from ..operators import longform, sampling, scoring
 from ..sources import readers
 from .base import UTTERANCES, Tables, query, rounded
 
@@ -192,3 +192,20 @@ def set_except(t: Tables) -> DataFrame:
 def split_pivot(t: Tables) -> DataFrame:
     return t.utterances().groupBy("dataset_id").pivot("split", ["train", "val", "test"]).agg(F.count(F.lit(1))).na.fill(0)
 
+
+
+GROUPS = [("short", [5.0], 0.05), ("medium", [30.0], 0.1), ("long", [300.0, 600.0, 900.0, 1200.0], 0.5)]
+
+
+@query()
+def longform_composition(t: Tables) -> DataFrame:
+    """Recordings of each group put together from clips of one speaker after the other; a cursor's walk, which SQL cannot express."""
+    out = longform.summary(longform.compose(t.utterances(), ["speaker_id", "duration", "audio_path"], GROUPS, "audio_path"))
+    return out.select("group", "recordings", rounded("seconds").alias("seconds"), rounded("mean").alias("mean"))
+
+
+@query(f"""{U}, w AS (SELECT * FROM u WHERE duration BETWEEN 2 AND 12), h AS (SELECT *, row_number() OVER (PARTITION BY speaker_id ORDER BY duration, {key(1, 'audio_path')}) AS r FROM w),
+ k AS (SELECT * FROM h WHERE r <= (SELECT greatest(1, ceil(count(*) / greatest(1, count(DISTINCT speaker_id)))) FROM w)),
+ b AS (SELECT *, coalesce(sum(duration) OVER (ORDER BY {key(12, 'audio_path')} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k) SELECT doc_id, duration FROM b WHERE round(before, 6) < 720""")
+def benchmark_groups(t: Tables) -> DataFrame:
+    return longform.benchmark_group(t.utterances(), 0.2, 1, 2.0, 12.0).select("doc_id", "duration")

@@ -174,6 +174,20 @@ def results(spark: SparkSession, glob: str) -> DataFrame:
     return found.withColumn("source", F.col("_metadata.file_path")).where(F.coalesce(speed.cast("double"), F.lit(0.0)) != 0)
 
 
+def flattened(df: DataFrame, **paths: str) -> DataFrame:
+    """One column for each nested field that the table has; null for the others."""
+
+    def there(path: str) -> bool:
+        kind = df.schema
+        for part in path.split("."):
+            if not isinstance(kind, T.StructType) or part not in kind.names:
+                return False
+            kind = kind[part].dataType
+        return True
+
+    return df.select(*[(F.col(p) if there(p) else F.lit(None).cast("string")).alias(name) for name, p in paths.items()])
+
+
 def experiments(spark: SparkSession, glob: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(glob)
 

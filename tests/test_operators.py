@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.operators import audit, cleaning, dedup, experiments, overlap, sampling, scoring
+from brightloom.operators import audit, cleaning, dedup, experiments, longform, overlap, sampling, scoring
 
 
 def manifest(spark, n=300, seed=1):
@@ -163,9 +163,32 @@ def test_runs(spark):
     assert got == [True, True, False, False, False, True]
     assert [r["worsening"] for r in experiments.early_stop(curve, "run", "step", "wer", "cer").orderBy("step").collect()] == [False, False, False, False, True, False]
     runs = lambda *rows: spark.createDataFrame(rows, "run int, wer double, cer double, rate double")
-    assert tuple(experiments.winner(runs((1, 0.1, 0.02, 1e-4), (2, 0.102, 0.0205, 1e-5)), "run", "wer", "cer", "rate").first()) == (2, True)
-    assert tuple(experiments.winner(runs((1, 0.1, 0.02, 1e-4), (2, 0.102, 0.0215, 1e-5)), "run", "wer", "cer", "rate").first()) == (1, False)
-    assert tuple(experiments.winner(runs((7, 0.1, 0.02, 1e-4)), "run", "wer", "cer", "rate").first()) == (7, False)
+    best = lambda *rows: tuple(experiments.winner(runs(*rows), "run", "wer", "cer", "rate").first())
+    assert best((1, 0.1, 0.02, 1e-4), (2, 0.102, 0.0205, 1e-5)) == (2, "lower_rate")
+    assert best((1, 0.1, 0.02, 1e-4), (2, 0.102, 0.0215, 1e-5)) == (1, "lower_cer")
+    assert best((1, 0.1, 0.02, 1e-4), (2, 0.102, 0.018, 1e-3)) == (2, "lower_cer")
+    assert best((1, 0.1, 0.02, 1e-4), (2, 0.104, 0.01, 1e-5)) == (1, "lowest_wer")
+    assert best((7, 0.1, 0.02, 1e-4)) == (7, "lowest_wer")
+    with pytest.raises(ValueError, match="no stable"):
+        experiments.promoted(curve, F.col("wer") < 0, 2, F.col("wer"))
+
+
+def test_longform_walks_on(spark):
+    rows = [(f"p{i:03d}", 1.0 + i % 7) for i in range(40)] + [("short", 0.5)]
+    df = spark.createDataFrame(rows, "audio_path string, duration double")
+    groups = [("a", [10.0], 0.01), ("b", [20.0, 60.0], 0.05)]
+    got = longform.compose(df, ["audio_path"], groups, "audio_path").orderBy("group", "number", "place").collect()
+    cursor, want = 0, []
+    for name, targets, hours in groups:
+        made, n = 0.0, 0
+        while made < hours * 3600:
+            target, seconds, place = targets[n % len(targets)], 0.0, 0
+            while seconds + 0.15 * place < target:
+                want.append((name, n, place, rows[cursor % 40][0]))
+                seconds += rows[cursor % 40][1]
+                cursor, place = cursor + 1, place + 1
+            made, n = made + min(target, seconds + 0.15 * place), n + 1
+    assert [(r["group"], r["number"], r["place"], r["ident"]) for r in got] == want and cursor > 40
 
 
 def test_details_must_be_complete(spark):
