@@ -21,6 +21,8 @@ CYRILLIC = {
     "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "x", "ц": "s", "ч": "ch", "ш": "sh", "ъ": "'", "ь": "", "э": "e", "ю": "yu",
     "я": "ya", "ў": "o'", "қ": "q", "ғ": "g'", "ҳ": "h",
 }
+#: White space beyond what Java's plain \\s matches.
+SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Characters that a transcript may hold, as the inside of a character class.
 EXPECTED = r"0-9A-Za-zА-Яа-яЁёЎўҚқҒғҲҳ\s'`ʻʼ’.,!?;:()/\"-"
 
@@ -69,7 +71,7 @@ def collapsed(text: Column) -> Column:
 
 def normalize(text: Column, punctuation: bool = True, lower: bool = True, latin: bool = True, apostrophes: bool = True, marks: bool = True, compose: bool = False) -> Column:
     """The Uzbek normalizer; null gives the empty string. `punctuation` false turns all marks but ' into spaces."""
-    text = F.coalesce(text, F.lit(""))
+    text = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))  # then the plain \\s covers all white space
     if compose:
         text = nfkc(text)
     if apostrophes:
@@ -80,16 +82,17 @@ def normalize(text: Column, punctuation: bool = True, lower: bool = True, latin:
         text = to_latin(text)
     if lower:
         text = F.lower(text)
-    for letter in "og":
-        text = F.regexp_replace(text, rf"(?iU)\b{letter}\s*['`ʻʼ’]\s*", f"{letter}'")
-    for pair in ("sh", "ch"):
-        text = F.regexp_replace(text, rf"(?iU)\b{pair}\b", pair)
+    else:
+        for pair in ("sh", "ch"):
+            text = F.regexp_replace(text, rf"(?iU)\b{pair}\b", pair)
+    joins = F.regexp_replace(F.regexp_replace(text, r"(?iU)\bo\s*['`ʻʼ’]\s*", "o'"), r"(?iU)\bg\s*['`ʻʼ’]\s*", "g'")
+    text = F.when(F.contains(text, F.lit("'")) | (F.lit(False) if apostrophes else text.rlike("[`ʻʼ’]")), joins).otherwise(text)
     if punctuation:
-        text = F.regexp_replace(text, r"(?U)\s+([,.;:!?])", "$1")
-        text = F.regexp_replace(text, r"(?U)([,.;:!?])([^\s])", "$1 $2")
+        text = F.regexp_replace(text, r"\s+([,.;:!?])", "$1")
+        text = F.regexp_replace(text, r"([,.;:!?])([^\s])", "$1 $2")
     else:
         text = F.regexp_replace(text, r"(?U)[^\w\s']", " ")
-    return collapsed(F.regexp_replace(text, "'+", "'"))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, "''+", "'"), r" \s+|[\t-\r]\s*", " "))  # a single space stays as it is
 
 
 def normalize_legacy(text: Column, lower: bool = False, compose: bool = False) -> Column:
@@ -144,6 +147,13 @@ FOREIGN_LETTERS = "ıİöÖüÜçÇşŞğĞ" + "әіңғүұқөһӘІҢҒҮҰҚ
 KNOWN_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 '.,?!:-" + "абвгдежзийклмнопрстуфхцчшъьэюяёўқғҳўАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЪЬЭЮЯЁЎҚҒҲ"
 
 
+def few_distinct(text: Column) -> Column:
+    """Whether a text has at most two different characters other than the space."""
+    for _ in range(2):
+        text = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.left(F.replace(text, F.lit(" "), F.lit("")), F.lit(1)), F.lit(""))
+    return text == ""
+
+
 def confusion_labels(text: Column) -> Column:
     """Signs of other languages in a transcript, as an array."""
     return F.array_compact(F.array(*[F.when(F.coalesce(text, F.lit("")).rlike(p), F.lit(name)) for name, p in CONFUSION.items()]))

@@ -13,7 +13,7 @@ Rule = tuple[str, Column, float]
 
 
 def stripped(t: Column) -> Column:
-    return F.regexp_replace(F.coalesce(t, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(t, F.lit("")), F.lit(" \t\n\x0b\f\r" + text.SPACES))
 
 
 def reasons_of(rules: list[Rule]) -> Column:
@@ -28,14 +28,13 @@ def score_of(rules: list[Rule], start: float | Column = 100.0) -> Column:
     return total
 
 
-def sample_rules(t: Column, duration: Column, similarity: Column | None = None, cer: Column | None = None, wer: Column | None = None) -> list[Rule]:
-    s = stripped(t)
+def sample_rules(s: Column, duration: Column, similarity: Column | None = None, cer: Column | None = None, wer: Column | None = None) -> list[Rule]:
     known = F.when(~F.isnan(duration), duration)  # NaN would count as larger than any number
     chars, cps = F.length(s), numeric.per_second(F.length(s), known)
     rules = [
         ("empty_transcript", s == "", 80.0), ("invalid_duration", ~numeric.finite(duration) | (duration <= 0), 80.0), ("long_utterance", known > 30, 10.0),
         ("low_chars_per_second", cps < 2, 30.0), ("high_chars_per_second", cps > 35, 30.0), ("suspicious_symbols", text.suspicious(text.normalize(s)), 15.0),
-        ("low_character_diversity", (text.distinct_chars(s) <= 2) & (chars > 10), 25.0),
+        ("low_character_diversity", (chars > 10) & text.few_distinct(s), 25.0),
     ]
     for name, value, bad, penalty in (("low_asr_similarity", similarity, lambda v: v < 0.70, 35.0), ("high_asr_cer", cer, lambda v: v > 0.35, 25.0), ("high_asr_wer", wer, lambda v: v > 0.80, 20.0)):
         if value is not None:
@@ -49,10 +48,18 @@ def decision(score: Column, reasons: Column) -> Column:
 
 def score_samples(df: DataFrame, t: str = "text", duration: str = "duration", **agreement: str) -> DataFrame:
     """Adds score, decision, reasons (array), chars_per_second and transcript_chars."""
-    s = stripped(F.col(t))
-    rules = sample_rules(F.col(t), F.col(duration), **{k: F.col(v) for k, v in agreement.items()})
+    df = df.withColumn("_s", stripped(F.col(t)))
+    rules = sample_rules(F.col("_s"), F.col(duration), **{k: F.col(v) for k, v in agreement.items()})
+    df, rules = flagged(df, rules)
     df = df.withColumns({"reasons": reasons_of(rules), "score": numeric.clamp(score_of(rules), 0.0, 100.0)})
-    return df.withColumns({"decision": decision(F.col("score"), F.col("reasons")), "chars_per_second": numeric.per_second(F.length(s), F.col(duration)), "transcript_chars": F.length(s)})
+    df = df.withColumns({"decision": decision(F.col("score"), F.col("reasons")), "chars_per_second": numeric.per_second(F.length("_s"), F.col(duration)), "transcript_chars": F.length("_s")})
+    return df.drop("_s", *[f"_rule{i}" for i in range(len(rules))])
+
+
+def flagged(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[Rule]]:
+    """The rules' conditions as columns, so that each is evaluated once for both reasons and score."""
+    df = df.withColumns({f"_rule{i}": F.coalesce(c, F.lit(False)) for i, (_, c, _) in enumerate(rules)})
+    return df, [(name, F.col(f"_rule{i}"), penalty) for i, (name, _, penalty) in enumerate(rules)]
 
 
 def pipe_joined(reasons: Column) -> Column:
