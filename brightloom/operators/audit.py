@@ -72,3 +72,9 @@ def flags(df: DataFrame, *columns: str) -> DataFrame:
 
 def share_of_total(df: DataFrame, value: str) -> Column:
     return F.col(value) / F.sum(value).over(Window.partitionBy())
+
+
+def changed(actual: DataFrame, expected: DataFrame, key: str, digest: str) -> DataFrame:
+    """Keys whose digest is not the expected one, or that are gone: a guard for files that must stay as they are."""
+    both = expected.select(key, F.col(digest).alias("expected")).join(actual.select(key, F.col(digest).alias("actual")), key, "left")
+    return both.where(~F.col("actual").eqNullSafe(F.col("expected")))

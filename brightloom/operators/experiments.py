@@ -120,6 +120,33 @@ def candidates(base: DataFrame, grids: dict[str, list[float]]) -> DataFrame:
     return out
 
 
+BLOCKS = ("encoder_block_a_lr", "encoder_block_b_lr", "encoder_block_c_lr", "encoder_block_d_lr")
+# What a run's configuration must name, and its modes.
+REQUIRED = ("model_name", "data_dir", "tuning_mode", "decoder_learning_rate", "per_device_batch_size", "gradient_accumulation_steps", "eval_steps", "save_steps")
+MODES = ("decoder_only", "encoder_24_31_plus_decoder", "encoder_16_31_plus_decoder", "blockwise_encoder_lr")
+
+
+def config_violations(config: dict, language: str = "uz", task: str = "transcribe") -> list[str]:
+    """Names of the rules that a run's configuration breaks; those that need missing values are not checked."""
+    if missing := [k for k in REQUIRED if config.get(k) is None]:
+        return [f"missing:{k}" for k in missing]
+    mode, rates = config["tuning_mode"], [float(config.get(k) or 0.0) for k in BLOCKS]
+    blockwise = mode == "blockwise_encoder_lr"
+    checks = {
+        "unknown_tuning_mode": mode not in MODES,
+        "decoder_rate_not_positive": float(config["decoder_learning_rate"]) <= 0,
+        "block_rate_negative": blockwise and min(rates) < 0,
+        "block_rates_fall": blockwise and rates != sorted(rates),
+        "last_block_rate_not_positive": blockwise and rates[-1] <= 0,
+        "encoder_rate_not_positive": not blockwise and mode != "decoder_only" and float(config.get("encoder_learning_rate") or 0) <= 0,
+        "save_steps_no_multiple": int(config["save_steps"]) % int(config["eval_steps"]) != 0,
+        "precision": not config.get("bf16") or bool(config.get("fp16")),
+        "language_or_task": config.get("language") != language or config.get("task") != task,
+        "test_split_used": bool(config.get("evaluate_test_after_training", True)) or bool(config.get("load_test_split", True)),
+    }
+    return [name for name, broken in checks.items() if broken]
+
+
 def latest_checkpoint(df: DataFrame, path: str, run: str) -> DataFrame:
     """The path of the greatest number at its end, for each run."""
     step = F.nullif(F.regexp_extract(path, r"checkpoint-(\d+)$", 1), F.lit("")).try_cast("long")

@@ -20,6 +20,13 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        """Text functions are bound by the CPU: a table of fewer splits than cores is dealt over all of them first."""
+        rows = self.spark.read.parquet(f"{self.folder}/documents.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return rows.repartition(cores, "doc_id") if rows.rdd.getNumPartitions() < cores else rows
+
     def utterances(self) -> DataFrame:
         """Documents in the shape of an utterance manifest: a duration and a split derived from the id, a tier from the labels."""
         d, labels = self.documents, self.labels.select("doc_id", "quality", "toxic")

@@ -21,6 +21,11 @@ def hashed(t: Tables) -> DataFrame:
     return t.utterances().withColumns({"audio_sha1": F.sha1("text"), "audio_head_sha1": F.sha1(head), "transcript_sha1": text.text_hash(F.col("text")), "duration_bucket": numeric.bucket(F.col("duration"))})
 
 
+def keyed(t: Tables) -> DataFrame:
+    """The keys without the texts, computed once: several joins and aggregates read them."""
+    return dedup.cut(hashed(t).withColumn("chars", F.length("text")).drop("text"))
+
+
 @query(f"""{HASHED} SELECT transcript_sha1, count(*) AS rows, array_to_string(list_slice(list_sort(list(doc_id)), 1, 20), '|') AS members FROM k GROUP BY ALL HAVING count(*) > 1""")
 def exact_dup_groups(t: Tables) -> DataFrame:
     return dedup.group_members(hashed(t), ["transcript_sha1"], "doc_id")
@@ -30,7 +35,7 @@ def exact_dup_groups(t: Tables) -> DataFrame:
  count(*) OVER (PARTITION BY transcript_sha1, duration_bucket) > 1 AS text_duration_overlap, count(*) OVER (PARTITION BY transcript_sha1) > 1 AS duplicate_transcript FROM k""")
 def overlap_groups(t: Tables) -> DataFrame:
     keys = {"duplicate_audio": ["audio_sha1"], "near_duplicate_audio": ["audio_head_sha1", "duration_bucket"], "text_duration_overlap": ["transcript_sha1", "duration_bucket"], "duplicate_transcript": ["transcript_sha1"]}
-    return dedup.group_sizes(hashed(t), keys).select("doc_id", *keys)
+    return dedup.group_sizes(keyed(t), keys).select("doc_id", *keys)
 
 
 @query(f"""{HASHED}, g AS (SELECT transcript_sha1, list(doc_id) AS a FROM k GROUP BY ALL), h AS (SELECT audio_head_sha1, list(doc_id) AS b FROM k GROUP BY ALL)
@@ -38,7 +43,7 @@ SELECT doc_id, array_to_string(list_slice(list_sort(list_distinct(list_concat(CA
 FROM k JOIN g USING (transcript_sha1) JOIN h USING (audio_head_sha1) WHERE len(a) > 1 OR len(b) > 1""")
 def combined_overlap(t: Tables) -> DataFrame:
     """Members of a row's transcript and head groups together: of each group only the first 20 ids are ever kept."""
-    rows = hashed(t)
+    rows = keyed(t)
     out = rows.select("doc_id", "transcript_sha1", "audio_head_sha1")
     for key, name in (("transcript_sha1", "a"), ("audio_head_sha1", "b")):
         groups = dedup.group_members(rows, [key], "doc_id").select(key, F.split("members", r"\|").alias(name))
@@ -49,8 +54,7 @@ def combined_overlap(t: Tables) -> DataFrame:
 
 
 def _gold(t: Tables) -> tuple[DataFrame, DataFrame]:
-    k = hashed(t)
-    return k.where("tier = 'gold'"), k.where("tier <> 'gold'")
+    return keyed(t).where("tier = 'gold'"), hashed(t).where("tier <> 'gold'")
 
 
 GOLD = f"""{HASHED}, g AS (SELECT * FROM k WHERE tier = 'gold'), s AS (SELECT * FROM k WHERE tier <> 'gold'),
@@ -118,21 +122,22 @@ STAR = f"""{HASHED}, e AS (SELECT doc_id AS b, min(doc_id) OVER (PARTITION BY tr
  r AS (SELECT node, min(label) AS component FROM (WITH RECURSIVE l(node, label) AS (SELECT DISTINCT x, x FROM d UNION SELECT d.y, l.label FROM l JOIN d ON l.node = d.x) SELECT * FROM l) GROUP BY node)"""
 
 
-def _components(t: Tables) -> DataFrame:
-    return dedup.components(dedup.star_edges(hashed(t), "doc_id", ["transcript_sha1"], ["audio_head_sha1", "dataset_id"]))
+def _components(rows: DataFrame) -> DataFrame:
+    return dedup.components(dedup.star_edges(rows, "doc_id", ["transcript_sha1"], ["audio_head_sha1", "dataset_id"]))
 
 
 @query(f"{STAR} SELECT node, component FROM r")
 def dup_components(t: Tables) -> DataFrame:
-    return _components(t)
+    return _components(keyed(t))
 
 
 @query(f"""{STAR}, c AS (SELECT k.doc_id, component, row_number() OVER w = 1 AS kept, first_value(k.doc_id) OVER w AS kept_id FROM k JOIN r ON k.doc_id = r.node
  WINDOW w AS (PARTITION BY component ORDER BY CASE split WHEN 'test' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, -length(text), k.doc_id)) SELECT doc_id, component, kept, kept_id FROM c""")
 def component_winner(t: Tables) -> DataFrame:
-    rows = hashed(t).join(_components(t).withColumnRenamed("node", "doc_id"), "doc_id")
+    rows = keyed(t)
+    rows = rows.join(_components(rows).withColumnRenamed("node", "doc_id"), "doc_id")
     rank = F.when(F.col("split") == "test", 0).when(F.col("split") == "val", 1).otherwise(2)
-    rows = rows.withColumns({"_rank": rank, "_long": -F.length("text")})
+    rows = rows.withColumns({"_rank": rank, "_long": -F.col("chars")})
     out = dedup.winners(rows, "component", F.col("_rank"), F.col("_long"), F.col("doc_id"))
     return out.select("doc_id", "component", "kept", F.col("_best.doc_id").alias("kept_id"))
 

@@ -53,6 +53,11 @@ def files(spark: SparkSession, root: str, suffix: str = "*") -> DataFrame:
     return found.select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def file_hashes(spark: SparkSession, glob: str) -> DataFrame:
+    """(path, sha256) of each file."""
+    return spark.read.format("binaryFile").load(glob).select("path", F.sha2("content", 256).alias("sha256"))
+
+
 def profile(spark: SparkSession, root: str) -> DataFrame:
     """(extension, files, bytes), most files first."""
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import struct
@@ -7,7 +8,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.operators import experiments
+from brightloom.functions.register import register
+from brightloom.operators import audit, experiments
 from brightloom.sources import readers, schemas, writers
 from brightloom.streaming import monitor
 
@@ -132,3 +134,35 @@ def test_first_seen_files_and_milestones(spark, tmp_path):
     seen = []
     monitor.milestones(stream(spark), "event_id", [1, 5], lambda df, n: seen.extend(r[0] for r in df.select("event_id").collect()), str(tmp_path / "c"))
     assert sorted(seen) == sorted(r[0] for r in events(spark).where("event_id IN (1, 5)").select("event_id").collect())
+
+
+def test_sql_functions(spark):
+    register(spark)
+    row = spark.sql("SELECT nfkc('ﬁ') AS a, ratcliff_ratio('tide', 'diet') AS b, indel_ratio('abcd', 'abxd') AS c").first()
+    assert tuple(row) == ("fi", 0.25, 75.0)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM tokens(' a  b ')").collect()] == [(0, "a"), (1, "b")]
+    assert [list(r["frame"]) for r in spark.sql("SELECT * FROM frames(array(cast(1 as float), cast(2 as float), cast(3 as float)), 2)").collect()] == [[1.0, 2.0]]
+
+
+def test_files_that_must_stay(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    before = readers.file_hashes(spark, f"{tmp_path}/*.txt").collect()
+    assert {r["sha256"] for r in before} == {hashlib.sha256(x).hexdigest() for x in (b"one", b"two")}
+    expected = spark.createDataFrame(before)
+    (tmp_path / "b.txt").write_text("three")
+    assert [r["path"].rpartition("/")[2] for r in audit.changed(readers.file_hashes(spark, f"{tmp_path}/*.txt"), expected, "path", "sha256").collect()] == ["b.txt"]
+
+
+def test_config_rules():
+    good = dict.fromkeys(experiments.REQUIRED, "x") | {"tuning_mode": "blockwise_encoder_lr", "decoder_learning_rate": 1e-5, "eval_steps": 10, "save_steps": 20, "encoder_block_c_lr": 1e-6, "encoder_block_d_lr": 2e-6}
+    good |= {"bf16": True, "language": "uz", "task": "transcribe", "evaluate_test_after_training": False, "load_test_split": False}
+    assert experiments.config_violations(good) == []
+    assert experiments.config_violations(good | {"encoder_block_a_lr": 3e-6, "save_steps": 15}) == ["block_rates_fall", "save_steps_no_multiple"]
+    assert experiments.config_violations(good | {"model_name": None}) == ["missing:model_name"]
+    assert experiments.config_violations(good | {"load_test_split": True, "fp16": True, "tuning_mode": "all"}) == ["unknown_tuning_mode", "encoder_rate_not_positive", "precision", "test_split_used"]
+
+
+def test_flattened(spark):
+    df = spark.createDataFrame([({"speed": 2.0},)], "performance struct<speed: double>")
+    assert tuple(readers.flattened(df, speed="performance.speed", rtf="performance.rtf").first()) == (2.0, None)
