@@ -207,7 +207,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 if len(at):
                     yield pa.RecordBatch.from_arrays([ids.take(at), item, *numbers], ["doc_id", "item_id", "span_from", "span_to", "edits", "windows"])
 
-        out = out.unionByName(rows.mapInArrow(search, schema))
+        out = out.unionByName(rows.mapInArrow(store.lean(search), schema))
     return out
 
 
@@ -223,5 +223,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 bad = {number for number, _ in scan(shared.value, batch.column(text_col).to_pylist())}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(drop, docs.schema)
+        docs = docs.mapInArrow(store.lean(drop), docs.schema)
     return docs

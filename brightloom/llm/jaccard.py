@@ -68,7 +68,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             cls = pa.array(np.asarray(batch.column("class")), mask=n == 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), cls, pa.array(n, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "class", "n_shingles", "signature"])
 
-    return rows.mapInArrow(sign, f"doc_id {kind}, class long, n_shingles long, signature array<long>")
+    return rows.mapInArrow(store.lean(sign), f"doc_id {kind}, class long, n_shingles long, signature array<long>")
 
 
 def candidates(classes: DataFrame, depth: int) -> DataFrame:
@@ -165,11 +165,11 @@ def verified(rows: DataFrame, packs: int, threshold: float = THRESHOLD) -> DataF
             sh, ptr = tokens.shingles(b.hashes(), b.ptr, SHINGLE)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([sh[ptr[i] : ptr[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())], ["component", "class", "rows", "blocks", "block", "shingles"])
 
-    rows = rows.select("component", "class", "rows", "blocks", "block", "text").mapInArrow(shingled, "component long, class long, rows long, blocks long, block long, shingles binary")
+    rows = rows.select("component", "class", "rows", "blocks", "block", "text").mapInArrow(store.lean(shingled), "component long, class long, rows long, blocks long, block long, shingles binary")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
     pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.xxhash64("component", "low", "high"))
-    return rows.select("component", "class", "rows", "block", "low", "high", "shingles", pack.alias("pack")).groupBy("pack").applyInArrow(_verify(threshold), "class long, links long, classes long, root long")
+    return rows.select("component", "class", "rows", "block", "low", "high", "shingles", pack.alias("pack")).groupBy("pack").applyInArrow(store.lean_group(_verify(threshold)), "class long, links long, classes long, root long")
 
 
 def links(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -113,7 +113,7 @@ def cut_up(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, *numbers, pa.array(u["keys"], pa.list_(pa.int64())), pa.array(u["line"], pa.binary())], ["doc_id", "uid", "start", "end", "digest", "n_shingles", "keys", "line"])
             number += batch.num_rows
 
-    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, start long, end long, digest long, n_shingles long, keys array<long>, line binary")
+    return rows.mapInArrow(store.lean(cut), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, uid long, start long, end long, digest long, n_shingles long, keys array<long>, line binary")
 
 
 def clusters(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             _, x = statistics(d["_text"].to_pylist())
             yield pa.RecordBatch.from_arrays([d["_id"].cast(pa.int64()), d["_y"].cast(pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["i", "y", "x"])
 
-    got = rows.mapInArrow(features, "i long, y long, x array<double>").toArrow()
+    got = rows.mapInArrow(store.lean(features), "i long, y long, x array<double>").toArrow()
     if not len(got):
         return None
     x, y, i = np.array(got["x"].to_pylist()), np.asarray(got["y"]), np.asarray(got["i"])
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Forest | None, text_col: str = "text", thresho
             columns = [*(counts[c] for c in COUNTS), failed, low, ~failed & (low < threshold)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns)], names=[f.name for f in schema])
 
-    return rest.mapInArrow(judged, schema)
+    return rest.mapInArrow(store.lean(judged), schema)
 
 
 def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """`df` as a Parquet table in the shared folder; for bulky columns. codec: snappy where binary columns are compressed already."""
+    """`df` as a Parquet table in the shared folder; for bulky columns. codec: uncompressed or snappy where binary columns are compressed already."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/brightloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
@@ -51,5 +55,36 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def released() -> None:
+    """Give the memory that numpy and Arrow have freed back to the system; an idle Python worker keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow whose worker gives its memory back at the end of the task."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            released()
+
+    return run
+
+
+def lean_group(fn: Callable) -> Callable:
+    """The same for applyInArrow."""
+
+    def run(table):
+        try:
+            return fn(table)
+        finally:
+            released()
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -125,7 +125,7 @@ def blocked(rows: DataFrame, parts: int) -> DataFrame:
         if block:
             yield flush(number, block, kind)
 
-    return rows.mapInArrow(pack, f"block long, part int, ids array<{kind_name}>, uids array<long>, lengths array<long>, text binary, size long, seeds binary, times binary")
+    return rows.mapInArrow(store.lean(pack), f"block long, part int, ids array<{kind_name}>, uids array<long>, lengths array<long>, text binary, size long, seeds binary, times binary")
 
 
 def answered(table: pa.Table) -> pa.Table:
@@ -141,7 +141,7 @@ def kept_suffixes(blocks: DataFrame, parts: int) -> DataFrame:
     """(seed, right, left, uid, pos, doc_id) of the suffixes whose seed several rows have."""
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
     asked = blocks.where("part >= 0").select("block", "part", "seeds", "times")
-    replies = asked.groupBy("part").applyInArrow(answered, "block long, part int, reply binary")
+    replies = asked.groupBy("part").applyInArrow(store.lean_group(answered), "block long, part int, reply binary")
     replies = replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
     texts = blocks.where("part < 0").select("block", "ids", "uids", "lengths", "text", "size").join(replies, "block")
 
@@ -171,7 +171,7 @@ def kept_suffixes(blocks: DataFrame, parts: int) -> DataFrame:
                     s = slice(i, i + 4 * CHUNK)
                     yield pa.RecordBatch.from_arrays([pa.array(seed[s].view(np.int64)), pa.array(right[s], pa.binary()), pa.array(left[s], pa.binary()), pa.array(uids[text[s]]), pa.array(at[s] - begin[s]), ids.take(pa.array(text[s]))], ["seed", "right", "left", "uid", "pos", "doc_id"])
 
-    return texts.drop("block").mapInArrow(suffixes, f"seed long, right binary, left binary, uid long, pos long, doc_id {kind}")
+    return texts.drop("block").mapInArrow(store.lean(suffixes), f"seed long, right binary, left binary, uid long, pos long, doc_id {kind}")
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,13 +261,13 @@ def matched(suffixes: DataFrame) -> DataFrame:
             else:
                 yield edge(t.slice(max(0, len(t) - EDGE)))
 
-    found = store.written(ordered.mapInArrow(neighbours, f"doc_id {kind}, uid long, start long, end long, early boolean, seed long, right binary, left binary, pos long"), "snappy")
+    found = store.written(ordered.mapInArrow(store.lean(neighbours), f"doc_id {kind}, uid long, start long, end long, early boolean, seed long, right binary, left binary, pos long"), "snappy")
 
     def across(table: pa.Table) -> pa.Table:
         return compared(table.sort_by([(c, "ascending") for c in ORDER]))
 
     edges = found.where("start IS NULL").select("doc_id", *ORDER).distinct()
-    spans = edges.groupBy("seed").applyInArrow(across, f"doc_id {kind}, uid long, start long, end long, early boolean")
+    spans = edges.groupBy("seed").applyInArrow(store.lean_group(across), f"doc_id {kind}, uid long, start long, end long, early boolean")
     return found.where("start IS NOT NULL").select(*names).unionByName(spans)
 
 

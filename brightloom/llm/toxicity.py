@@ -122,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             lists = [pa.LargeListArray.from_arrays(cut, pa.array(x)).cast(pa.list_(pa.int64())) for x in (h.view(np.int64), n)]
             yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.int64()), batch.column("_y").cast(pa.int64()), *lists], ["i", "y", "h", "n"])
 
-    rows = rows.mapInArrow(features, "i long, y long, h array<long>, n array<long>")
+    rows = rows.mapInArrow(store.lean(features), "i long, y long, h array<long>, n array<long>")
     # Only words in MIN_DOCUMENTS labelled documents go to the driver: at most MAX_WORDS of them.
     rows = store.cut(rows)
     common = rows.select(F.explode("h").alias("w")).groupBy("w").count().where(F.col("count") >= MIN_DOCUMENTS).orderBy(F.desc("count"), "w").limit(MAX_WORDS)
@@ -163,4 +163,4 @@ def scored(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_co
             columns = [batch.column("doc_id"), pa.array(above.sum(1)), pa.array(grade, pa.int32()), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "severity", "grade", "p_toxic", "toxic"])
 
-    return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, severity double, grade int, p_toxic double, toxic boolean")
+    return rows.mapInArrow(store.lean(score), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, severity double, grade int, p_toxic double, toxic boolean")
