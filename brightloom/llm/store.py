@@ -17,6 +17,10 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 2 << 20
 
 
+#: Paths of the tables that `written` made in this session.
+tables: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,9 +41,18 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/brightloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    tables.append(path)
     return spark.read.parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that `written` left; results that still read them must have been saved before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while tables:
+        table = path(tables.pop())
+        table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(table, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that very long texts do not meet in one batch."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):

@@ -1,9 +1,11 @@
 """Every operator on nulls, blank and very long texts, repeats, clashing columns and empty tables."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.llm import decontaminate, jaccard, mix, paragraphs, quality, shard, suffixes, suffixtree, toxicity, urlrank
+from brightloom.llm import decontaminate, jaccard, mix, paragraphs, quality, shard, store, suffixes, suffixtree, toxicity, urlrank
 
 from .conftest import prose
 
@@ -89,3 +91,10 @@ def test_urls(spark):
 def test_inputs_are_not_changed_by_name_clashes(nasty):
     out = shard.sharded(nasty.withColumn("shard", F.lit("old")))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_row", "size", "shard", "slot"] and out.schema["shard"].dataType.simpleString() == "int"
+
+
+def test_written_tables_can_be_deleted(spark, nasty):
+    path_of = store.written(nasty).inputFiles()[0].removeprefix("file://")
+    assert store.tables and Path(path_of).exists()
+    store.cleanup(spark)
+    assert not store.tables and not Path(path_of).exists()
