@@ -201,7 +201,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group (that of least id; a null id comes last), with its own columns; texts without words all stay."""
-    rows = joined(docs, id_col, text_col).where("class IS NOT NULL")
+    rows = store.cut(joined(docs, id_col, text_col).where("class IS NOT NULL"))  # so that a hot class does not stay in its join's task
     own = rows.groupBy("root", "doc_id", "class").agg(F.count("*").alias("_same"))
     first = own.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "class", "_same")).alias("w")).select(F.col("w.doc_id").alias("_id"), F.col("w.class").alias("_cls"), F.col("w._same").alias("_same"))
     first = store.cut(first)
