@@ -193,7 +193,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     counts = linked.groupBy("class").agg(F.sum("links").alias("links"), F.sum("classes").alias("n_class_links"))
     facts = classes.select("class", "rep", "rows").join(counts, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
     facts = store.cut(facts.withColumn("root", F.coalesce("root", "class")))
-    heads = facts.groupBy("root").agg(F.min("rep").alias("group_id"))
+    heads = store.cut(facts.groupBy("root").agg(F.min("rep").alias("group_id")))  # a hot root's join can then be split
     facts = facts.join(heads, "root").select("class", F.col("rep").alias("class_id"), "group_id", "root", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"))
     out = rows.select("doc_id", "class").join(store.cut(facts), "class", "left")
     return out.select("doc_id", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_class_links", F.lit(0)).cast("long").alias("n_class_links"), "root")
