@@ -2,15 +2,16 @@
 
 Of all suffixes (a suffix starts at a word) only those at content-selected positions are kept: where the hash of SEED
 words is the least in some window of WINDOW such positions. A passage of MIN_WORDS = WINDOW + SEED - 1 words has one
-of them whatever surrounds it, so it keeps the same suffixes in every document. Suffixes whose seed occurs in no
-other row cannot match and are dropped after an exact count of the seeds. The others are sorted by
-what follows, then by what precedes; each is compared with its neighbours of other rows, the match is extended to the
-right and to the left, and matches of MIN_WORDS words are reported as spans, merged within each row. The range
-partitioning splits a seed of any frequency, since its suffixes differ in their last sort keys; the rows at the
-edges of partitions are compared once more.
-
-Defined cases: words are as in `tokens` and compared by 16 bits of their hash; texts of fewer than
-MIN_WORDS words, empty or null, have no spans; in a run of one repeated seed every WINDOW // 2-th position stays;
+of them whatever surrounds it, so it keeps the same suffixes in every document. Passages around suffixes whose seed
+occurs in no other row cannot match and are dropped after an exact count of the seeds. Of all others the whole
+content is matched, by a 64-bit digest of its MIN_WORDS words, instead of neighbours in a sorted order: each block of
+texts sends its distinct passages once, dealt by digest, and gets back for each whether another row has it and
+whether an earlier block has it. So every copy of a passage is found, and all but that of the first row are marked,
+however many copies there are, whatever surrounds them and however often a row repeats them. Passages that overlap
+or touch are merged to spans within each row.
+
+Defined cases: words are as in `tokens` and compared by their hash; texts of fewer than MIN_WORDS words, empty
+or null, have no spans; in a run of one repeated seed every WINDOW // 2-th suffix stays, which keeps its seed;
 repeats within one row are not reported; a null id is reported as null; repeated rows are separate
 occurrences; an empty table gives an empty result; other columns are not used. A row's text is held whole by the task
 that reads it.
@@ -24,19 +25,25 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store, tokens
 
 SEED, WINDOW = 8, 43
 MIN_WORDS = SEED + WINDOW - 1
-#: Words kept to the right (the seed included) and to the left of a suffix; longer matches hold several suffixes.
-RIGHT, LEFT = 60, 50
-#: Neighbours of other rows that a suffix is compared with, on either side.
-NEAR = 4
 BLOCK_BYTES = 4 << 20
-CHUNK, CARRY, EDGE = 1 << 14, 256, 16
+
+
+def minima(seed: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least seed of each window of WINDOW positions, by minima from both sides of its blocks; and whether the window lies in one text."""
+    n = len(seed)
+    padded = np.full(-(-n // WINDOW) * WINDOW + WINDOW, np.iinfo(np.uint64).max, np.uint64)
+    padded[:n] = seed
+    grid = padded.reshape(-1, WINDOW)
+    left, right = np.minimum.accumulate(grid, 1).ravel(), np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
+    m = max(n - WINDOW + 1, 0)
+    return np.minimum(right[:m], left[WINDOW - 1 : WINDOW - 1 + m]), text[:m] == text[WINDOW - 1 : WINDOW - 1 + m]
 
 
 def selected(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,14 +53,8 @@ def selected(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return at, seed
     text = np.searchsorted(ptr, at, "right") - 1
     n = len(seed)
-    # Least of each window by minima from both sides of its blocks.
-    padded = np.full(-(-n // WINDOW) * WINDOW + WINDOW, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = seed
-    grid = padded.reshape(-1, WINDOW)
-    left, right = np.minimum.accumulate(grid, 1).ravel(), np.minimum.accumulate(grid[:, ::-1], 1)[:, ::-1].ravel()
-    m = max(n - WINDOW + 1, 0)
-    least = np.minimum(right[:m], left[WINDOW - 1 : WINDOW - 1 + m])
-    inside = text[:m] == text[WINDOW - 1 : WINDOW - 1 + m]
+    least, inside = minima(seed, text)
+    m = len(least)
     least = np.where(inside, least, 0)
     # A position is selected if some window that covers it has its hash as the least: the greatest of the windows' minima is its own.
     span = np.zeros(-(-n // WINDOW) * WINDOW + 2 * WINDOW, np.uint64)
@@ -74,6 +75,32 @@ def selected(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[keep], seed[keep]
 
 
+def passages(h: np.ndarray, ptr: np.ndarray, keys: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and digests of the passages of MIN_WORDS words whose least seed is one of the (sorted) keys that are shared."""
+    seed, at = tokens.windows(h, ptr, SEED)
+    least, inside = minima(seed, np.searchsorted(ptr, at, "right") - 1)
+    if not len(keys):
+        return at[:0], seed[:0]
+    place = np.minimum(np.searchsorted(keys, least), len(keys) - 1)
+    at = at[: len(least)][inside & (keys[place] == least) & shared[place]]
+    up, down = tokens.powers(len(h) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
+    return at, tokens.mix((sums[at + MIN_WORDS] - sums[at]) * down[at])
+
+
+def tally(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and in how many texts each is (2 for more); texts ascend."""
+    order = np.argsort(keys, kind="stable")
+    k, t = keys[order], text[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    other = new.copy()
+    other[1:] |= t[1:] != t[:-1]
+    times = np.add.reduceat(other.astype(np.int64), first) if len(first) else first
+    return k[first], np.minimum(times, 2).astype(np.uint8)
+
+
 def _texts(row: dict) -> list[bytes]:
     whole = pa.decompress(row["text"], row["size"], "zstd", asbytes=True)
     cuts = np.cumsum([0, *row["lengths"]])
@@ -97,13 +124,12 @@ def blocked(rows: DataFrame, parts: int) -> DataFrame:
         b = tokens.read(list(texts))
         at, seed = selected(b.hashes(), b.ptr)
         text = np.searchsorted(b.ptr, at, "right") - 1
-        pairs = np.unique(np.stack([seed, text.astype(np.uint64)], 1), axis=0) if len(seed) else np.zeros((0, 2), np.uint64)
-        keys, times = np.unique(pairs[:, 0], return_counts=True)
+        keys, times = tally(seed, text)
         whole = b"".join(texts)
         rows = [(me, -1, ids, uids, [len(t) for t in texts], pa.compress(whole, "zstd", asbytes=True), len(whole), None, None)]
         for p, places in enumerate(split(keys, parts)):
             if len(places):
-                rows.append((me, p, None, None, None, None, None, keys[places].tobytes(), np.minimum(times[places], 2).astype(np.uint8).tobytes()))
+                rows.append((me, p, None, None, None, None, None, keys[places].tobytes(), times[places].tobytes()))
         kinds = [pa.int64(), pa.int32(), pa.list_(kind), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "part", "ids", "uids", "lengths", "text", "size", "seeds", "times"])
 
@@ -137,138 +163,33 @@ def answered(table: pa.Table) -> pa.Table:
     return pa.table({"block": table["block"], "part": table["part"], "reply": pa.array(replies, pa.binary())})
 
 
-def kept_suffixes(blocks: DataFrame, parts: int) -> DataFrame:
-    """(seed, right, left, uid, pos, doc_id) of the suffixes whose seed several rows have."""
-    kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    asked = blocks.where("part >= 0").select("block", "part", "seeds", "times")
-    replies = asked.groupBy("part").applyInArrow(store.lean_group(answered), "block long, part int, reply binary")
-    replies = replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias("replies"))
-    texts = blocks.where("part < 0").select("block", "ids", "uids", "lengths", "text", "size").join(replies, "block")
+def placed(table: pa.Table) -> pa.Table:
+    """For each block's passages, in the order asked: 1 if several rows of the corpus have them, and 2 more if an earlier block has."""
+    table = table.sort_by("block")
+    asked = [np.frombuffer(x.as_py(), np.uint64) for x in table["seeds"]]
+    of = np.repeat(np.arange(len(asked)), [len(a) for a in asked])
+    keys, first, at = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
+    total = np.bincount(at, np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table["times"]]), len(keys))
+    says = ((total > 1)[at] + 2 * (of[first][at] < of)).astype(np.uint8)
+    replies = [x.tobytes() for x in np.split(says, np.cumsum([len(a) for a in asked])[:-1])]
+    return pa.table({"block": table["block"], "part": table["part"], "reply": pa.array(replies, pa.binary())})
+
+
+def gathered(replies: list[dict], keys: np.ndarray, parts: int, kind: type) -> np.ndarray:
+    """The replies to a block, in the order of its keys."""
+    out, places = np.zeros(len(keys), kind), split(keys, parts)
+    for reply in replies:
+        out[places[reply["part"]]] = np.frombuffer(reply["reply"], kind)
+    return out
 
-    def suffixes(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = tokens.read(_texts(row))
-                h = b.hashes()
-                at, seed = selected(h, b.ptr)
-                keys = np.unique(seed)
-                shared = np.zeros(len(keys), bool)
-                places = split(keys, parts)
-                for reply in row["replies"]:
-                    shared[places[reply["part"]]] = np.frombuffer(reply["reply"], bool)
-                keep = shared[np.searchsorted(keys, seed)]
-                at, seed = at[keep], seed[keep]
-                if not len(at):
-                    continue
-                text = np.searchsorted(b.ptr, at, "right") - 1
-                code = (h >> np.uint64(48)).astype(">u2")
-                raw, back = code.tobytes(), code[::-1].tobytes()
-                begin, end = b.ptr[text], b.ptr[text + 1]
-                right = [raw[2 * i : 2 * j] for i, j in zip(at.tolist(), np.minimum(at + RIGHT, end).tolist(), strict=True)]
-                left = [back[2 * (len(h) - i) : 2 * (len(h) - j)] for i, j in zip(at.tolist(), np.maximum(at - LEFT, begin).tolist(), strict=True)]
-                uids, ids = np.array(row["uids"], np.int64), pa.array(row["ids"], batch.schema.field("ids").type.value_type)
-                for i in range(0, len(at), 4 * CHUNK):
-                    s = slice(i, i + 4 * CHUNK)
-                    yield pa.RecordBatch.from_arrays([pa.array(seed[s].view(np.int64)), pa.array(right[s], pa.binary()), pa.array(left[s], pa.binary()), pa.array(uids[text[s]]), pa.array(at[s] - begin[s]), ids.take(pa.array(text[s]))], ["seed", "right", "left", "uid", "pos", "doc_id"])
-
-    return texts.drop("block").mapInArrow(store.lean(suffixes), f"seed long, right binary, left binary, uid long, pos long, doc_id {kind}")
-
-
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    values = column.to_pylist()
-    sizes = np.fromiter((len(v) // 2 for v in values), np.int64, len(values))
-    return np.frombuffer(b"".join(v.ljust(2 * width, b"\0") for v in values), ">u2").reshape(-1, width), sizes
-
-
-def _common(a: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    same = (a[i] == a[j]) & (np.arange(a.shape[1]) < np.minimum(n[i], n[j])[:, None])
-    return np.where(same.all(1), a.shape[1], same.argmin(1))
-
-
-def compared(t: pa.Table) -> pa.Table:
-    """Spans of the suffixes that match a neighbour of another row; t is sorted. early: where the other row comes first."""
-    seed, uid, pos = (np.asarray(t[c]) for c in ("seed", "uid", "pos"))
-    n = len(seed)
-    (right, n_right), (left, n_left) = _matrix(t["right"], RIGHT), _matrix(t["left"], LEFT)
-    new = np.ones(n, bool)
-    new[1:] = (seed[1:] != seed[:-1]) | (uid[1:] != uid[:-1])
-    before = np.maximum.accumulate(np.where(new, np.arange(n), 0)) - 1  # last suffix of the run before
-    before = np.where((before >= 0) & (seed[np.maximum(before, 0)] == seed), before, -1)
-    lo, hi = np.full((2, n), 1 << 60), np.full((2, n), -1)
-    i, j = np.arange(n), before
-    for _ in range(NEAR):
-        ok = j >= 0
-        i, j = i[ok], j[ok]
-        if not len(i):
-            break
-        other = uid[i] != uid[j]
-        a, b = i[other], j[other]
-        r, s = _common(right, n_right, a, b), _common(left, n_left, a, b)
-        good = r + s >= MIN_WORDS
-        for x, y in ((a[good], b[good]), (b[good], a[good])):
-            for kind, rows in ((0, np.ones(len(x), bool)), (1, uid[y] < uid[x])):
-                np.minimum.at(lo[kind], x[rows], (pos[x] - s[good])[rows])
-                np.maximum.at(hi[kind], x[rows], (pos[x] + r[good])[rows])
-        j = before[j]
-    rows = [np.flatnonzero(hi[k] >= 0) for k in (0, 1)]
-    at = np.concatenate(rows)
-    early = np.repeat([False, True], [len(x) for x in rows])
-    return pa.table({"doc_id": t["doc_id"].take(pa.array(at)), "uid": pa.array(uid[at]), "start": pa.array(np.concatenate([lo[k][x] for k, x in enumerate(rows)])), "end": pa.array(np.concatenate([hi[k][x] for k, x in enumerate(rows)])), "early": pa.array(early)})
-
-
-ORDER = ("seed", "right", "left", "uid", "pos")
-
-
-def matched(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, uid, start, end, early) from neighbours in the sorted order of all suffixes."""
-    spark = suffixes.sparkSession
-    kind = suffixes.schema["doc_id"].dataType.simpleString()
-    ordered = suffixes.repartitionByRange(store.partitions(spark), *ORDER).sortWithinPartitions(*ORDER)
-    names = ["doc_id", "uid", "start", "end", "early"]
-
-    def neighbours(batches):
-        held: list[pa.Table] = []
-        tail: pa.Table | None = None
-        count = 0
-
-        def out(t: pa.Table):
-            spans = compared(t)
-            empty = [pa.nulls(len(spans), k) for k in (pa.int64(), pa.binary(), pa.binary(), pa.int64())]
-            return spans.combine_chunks().to_batches() and [pa.RecordBatch.from_arrays([*(spans[c].combine_chunks() for c in names), *empty], [*names, "seed", "right", "left", "pos"])]
-
-        def edge(t: pa.Table):
-            none = [pa.nulls(len(t), k) for k in (pa.int64(), pa.int64(), pa.bool_())]
-            t = t.combine_chunks()
-            cols = [t["doc_id"], t["uid"], *none, t["seed"], t["right"], t["left"], t["pos"]]
-            return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols], [*names, "seed", "right", "left", "pos"])
-
-        first = True
-        for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            count += batch.num_rows
-            if first and count >= EDGE:
-                yield edge(pa.concat_tables(held).slice(0, EDGE))
-                first = False
-            if count >= CHUNK:
-                t = pa.concat_tables([*([tail] if tail else []), *held])
-                yield from out(t)
-                tail, held, count = t.slice(max(0, len(t) - CARRY)), [], 0
-        t = pa.concat_tables([*([tail] if tail else []), *held]) if held or tail else None
-        if t is not None and len(t):
-            yield from out(t)
-            if first:
-                yield edge(t)
-            else:
-                yield edge(t.slice(max(0, len(t) - EDGE)))
-
-    found = store.written(ordered.mapInArrow(store.lean(neighbours), f"doc_id {kind}, uid long, start long, end long, early boolean, seed long, right binary, left binary, pos long"), "snappy")
-
-    def across(table: pa.Table) -> pa.Table:
-        return compared(table.sort_by([(c, "ascending") for c in ORDER]))
-
-    edges = found.where("start IS NULL").select("doc_id", *ORDER).distinct()
-    spans = edges.groupBy("seed").applyInArrow(store.lean_group(across), f"doc_id {kind}, uid long, start long, end long, early boolean")
-    return found.where("start IS NOT NULL").select(*names).unionByName(spans)
+
+def merged(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first and last word (exclusive) of the unions of the passages at these words, which ascend."""
+    new = np.ones(len(at), bool)
+    new[1:] = (text[1:] != text[:-1]) | (np.diff(at) > MIN_WORDS)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    return text[first], at[first], at[last] + MIN_WORDS
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,12 +198,48 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     store.bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
     parts = max(store.partitions(spark), rows.rdd.getNumPartitions())
-    suffixes = store.written(kept_suffixes(store.written(blocked(rows, parts), "snappy"), parts), "snappy")
-    spans = matched(suffixes)
-    order = Window.partitionBy("uid", "early").orderBy("start", "end")
-    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("_new", F.coalesce(F.col("start") > upto, F.lit(True)).cast("int"))
-    spans = spans.withColumn("_span", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy("uid", "early", "_span").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("from_word"), F.max("end").alias("to_word"))
-    return merged.select("doc_id", "from_word", "to_word", F.col("early").alias("removed"))
+    blocks = store.written(blocked(rows, parts), "snappy")
+
+    def replied(asked: DataFrame, answer, name: str) -> DataFrame:
+        replies = asked.groupBy("part").applyInArrow(store.lean_group(answer), "block long, part int, reply binary")
+        return replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias(name))
+
+    known = store.cut(replied(blocks.where("part >= 0").select("block", "part", "seeds", "times"), answered, "replies"))
+    texts = blocks.where("part < 0").select("block", "ids", "uids", "lengths", "text", "size").join(known, "block")
+
+    def found(row: dict) -> tuple[tokens.Batch, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a block's passages that can repeat: their texts, first words and digests."""
+        b = tokens.read(_texts(row))
+        h = b.hashes()
+        keys = np.unique(selected(h, b.ptr)[1])
+        at, digest = passages(h, b.ptr, keys, gathered(row["replies"], keys, parts, bool))
+        return b, np.searchsorted(b.ptr, at, "right") - 1, at, digest
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, text, _, digest = found(row)
+                keys, times = tally(digest, text)
+                asked = [(row["block"], p, keys[places].tobytes(), times[places].tobytes()) for p, places in enumerate(split(keys, parts)) if len(places)]
+                if asked:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*asked, strict=True), [pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["block", "part", "seeds", "times"])
+
+    asked = texts.select("block", "lengths", "text", "size", "replies").mapInArrow(store.lean(ask), "block long, part int, seeds binary, times binary")
+    texts = texts.join(replied(asked, placed, "says"), "block")
+
+    def spans(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                b, text, at, digest = found(row)
+                keys, first, place = np.unique(digest, return_index=True, return_inverse=True)
+                says = gathered(row["says"], keys, parts, np.uint8)[place]
+                early = (says > 1) | (text[first][place] < text)
+                ids = pa.array(row["ids"], batch.schema.field("ids").type.value_type)
+                for removed, keep in ((False, says % 2 > 0), (True, early)):
+                    of, start, end = merged(text[keep], at[keep])
+                    if len(of):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array(start - b.ptr[of]), pa.array(end - b.ptr[of]), pa.array(np.full(len(of), removed))], ["doc_id", "from_word", "to_word", "removed"])
+
+    return texts.select("ids", "lengths", "text", "size", "replies", "says").mapInArrow(store.lean(spans), f"doc_id {kind}, from_word long, to_word long, removed boolean")

@@ -358,6 +358,25 @@ def test_suffixes_across_many_partitions(spark):
     assert len({r["doc_id"] for r in rows if r["removed"]}) >= 70
 
 
+def test_suffixes_find_a_partner_among_many_of_a_frequent_line(spark):
+    """Rows 0 and 1 share 50 words whose only shared seeds are in a line that 300 other rows have too, with other texts after it."""
+    words = lambda seed, n: [f"{seed}v{i}" for i in range(n)]
+    for n in range(20_000):  # a passage whose only common seed lies in the line alone
+        shared, line = words(f"shared{n}", 35), words(f"line{n}", 15)
+        rows = [(k, " ".join([*words(f"left{k}", 60), *shared, *line, *words(f"{'az'[k]}right", 60)])) for k in (0, 1)]
+        b = tokens.read([" ".join([*shared, *line]).encode(), *(t.encode() for _, t in rows)])
+        at, seed = suffixes.selected(b.hashes(), b.ptr)
+        common = set(seed[(at >= 50) & (at < 220)].tolist()) & set(seed[at >= 220].tolist())
+        if (at[at < 50] >= 35).all() and common == set(seed[at < 50].tolist()):
+            break
+    else:
+        raise AssertionError("no such passage")
+    rows += [(2 + i, " ".join([*words(f"other{i}", 60), *line, *words(f"after{i}", 60)])) for i in range(300)]
+    got = suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["from_word"], r["to_word"]) for r in got if not r["removed"]} == {(0, 60, 110), (1, 60, 110)}
+    assert sum(r["removed"] for r in got) == 1
+
+
 def test_minimisers_cover_every_window():
     r = random.Random(3)
     w = [f"w{r.randrange(50)}" for _ in range(3000)]
