@@ -377,6 +377,14 @@ def test_suffixes_find_a_partner_among_many_of_a_frequent_line(spark):
     assert sum(r["removed"] for r in got) == 1
 
 
+def test_suffixes_mark_all_copies_but_the_first(spark):
+    same = prose(5, 70)
+    df = spark.createDataFrame([(i, f"{prose(100 + i, 20)} {same} {prose(400 + i, 20)}") for i in range(80)], "doc_id long, text string").repartition(7)
+    rows = suffixes.repeated(df).collect()
+    assert {r["doc_id"] for r in rows if not r["removed"]} == set(range(80))
+    assert len({r["doc_id"] for r in rows if r["removed"]}) == 79 == sum(r["removed"] for r in rows)
+
+
 def test_minimisers_cover_every_window():
     r = random.Random(3)
     w = [f"w{r.randrange(50)}" for _ in range(3000)]
