@@ -385,6 +385,19 @@ def test_suffixes_mark_all_copies_but_the_first(spark):
     assert len({r["doc_id"] for r in rows if r["removed"]}) == 79 == sum(r["removed"] for r in rows)
 
 
+def test_suffixes_report_all_occurrences_of_a_row(spark):
+    passage = [f"p{i}" for i in range(60)]
+    long = [w for k in range(100) for w in (*passage, *(f"gap{k}v{i}" for i in range(30)))]
+    rows = [(0, " ".join(long)), (1, " ".join([*(f"a{i}" for i in range(50)), *passage, *(f"b{i}" for i in range(50))]))]
+    got = suffixes.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    spans = collections.defaultdict(set)
+    for r in got:
+        spans[r["doc_id"], r["removed"]].add((r["from_word"], r["to_word"]))
+    every = {(90 * k, 90 * k + 60) for k in range(100)}
+    assert spans[0, False] == every and spans[1, False] == {(50, 110)}
+    assert (spans[0, True], spans[1, True]) in ((every, set()), (set(), {(50, 110)}))
+
+
 def test_minimisers_cover_every_window():
     r = random.Random(3)
     w = [f"w{r.randrange(50)}" for _ in range(3000)]
