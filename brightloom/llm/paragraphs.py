@@ -4,7 +4,9 @@ A paragraph is a line. Its MinHash bands meet those of other paragraphs; collidi
 exact Jaccard similarity of their word shingles and clustered by connected components. Bands and rows are
 tuned so that a pair at the threshold collides with at least the target probability. Since a passage can
 also be embedded in a long paragraph, paragraphs of LONG words and more are also cut at sentence ends, and these
-sentences meet by their digest. Found units that follow each other in a document, at most GAP words
+sentences meet by their digest. So do pieces of the whole text, whatever its punctuation and lines: they begin where
+the hash of PIECE words is the least of some WINDOW such positions, reach to the next such place and have LEAST words
+at least. In a passage of 50 words the same pieces are cut in every text, and they cover 23 words or more. Found units that follow each other in a document, at most GAP words
 apart, make a span, and spans of MIN_WORDS found words are reported, wherever they occur; the first
 occurrence of each cluster (by row) is the one to keep.
 
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from . import graph, jaccard, store, tokens
 
 LEAST, LONG, GAP, MIN_WORDS = 8, 16, 12, 22
+#: 52 - PIECE - 2 * WINDOW, the words that pieces cover of any passage of 50, are MIN_WORDS or more.
+PIECE, WINDOW = 3, 13
 THRESHOLD, TARGET_RECALL, MOST_KEYS = 0.8, 0.99, 48
 
 
@@ -62,8 +66,31 @@ def band_keys(sh: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last word (exclusive) of the content-defined pieces of each text."""
+    seed, at = tokens.windows(h, ptr, PIECE)
+    m = len(seed) - WINDOW + 1
+    if m <= 0:
+        return at[:0], at[:0]
+    text = np.searchsorted(ptr, at, "right") - 1
+    least, place = seed[:m].copy(), np.zeros(m, np.int64)
+    for k in range(1, WINDOW):  # the last of equal ones
+        take = seed[k : k + m] <= least
+        least[take] = seed[k : k + m][take]
+        place[take] = k
+    chosen = np.zeros(len(seed), bool)
+    inside = text[:m] == text[WINDOW - 1 :]
+    chosen[(np.arange(m) + place)[inside]] = True
+    start, text = at[chosen], text[chosen]
+    end = start + LEAST
+    same = text[1:] == text[:-1]
+    end[:-1][same] = np.maximum(end[:-1], start[1:])[same]
+    fits = end <= ptr[text + 1]
+    return start[fits], end[fits]
+
+
 def units(texts: list[bytes | None]) -> dict[str, np.ndarray | list]:
-    """Paragraphs and sentences: text, start and end word, digest, shingles; for paragraphs that can be near copies keys and line."""
+    """Paragraphs, sentences and pieces: text, start and end word, digest, shingles; for paragraphs that can be near copies keys and line."""
     b = tokens.read(texts)
     h = b.hashes()
     if not len(h):
@@ -88,7 +115,8 @@ def units(texts: list[bytes | None]) -> dict[str, np.ndarray | list]:
     s_line = np.searchsorted(first, s_end - 1, "right") - 1
     s_start = np.maximum(np.concatenate([[0], s_end[:-1]]), first[s_line]) if len(s_end) else s_end
     ok = (s_end - s_start >= LEAST) & ~((s_start == first[s_line]) & (s_end == last[s_line]))
-    s_start, s_end = s_start[ok], s_end[ok]
+    p_start, p_end = pieces(h, b.ptr)
+    s_start, s_end = np.concatenate([s_start[ok], p_start]), np.concatenate([s_end[ok], p_end])
     start, end = np.concatenate([first[whole], s_start]), np.concatenate([last[whole], s_end])
     text = np.searchsorted(b.ptr, start, "right") - 1
     raw = b.buf.tobytes()

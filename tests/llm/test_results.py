@@ -421,6 +421,23 @@ def test_paragraphs(spark, passages):
     assert found <= shared_passages(texts, 12)
 
 
+def test_paragraphs_find_embedded_passages_without_stops(spark):
+    r = random.Random(11)
+    words = lambda n: ["".join(r.choice("bdklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(n)]
+    rows, clean = [], []
+    for i in range(40):
+        p = words(51)
+        if i % 4 == 1:  # short sentences
+            p = [w + "." * (k % 4 == 3) for k, w in enumerate(p)]
+        for j in (0, 1):
+            line = " ".join(p) if i % 4 < 2 or j else "\n".join(" ".join(p[k : k + 7]) for k in range(0, 51, 7))
+            rows.append((10 * i + j, " ".join([*words(60 + i), line, *words(60)])))
+        clean.append((10 * i + 5, " ".join(words(150))))
+    found = paragraphs.repeated(spark.createDataFrame(rows + clean, "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"] for x in found} == {d for d, _ in rows}
+    assert len({x["doc_id"] for x in found if x["removed_words"] > 0}) == 40
+
+
 def test_near_paragraphs(spark):
     base = prose(6, 100).replace("\n", " ").replace(".", "").split()
     near = list(base)
