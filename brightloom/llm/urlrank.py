@@ -21,8 +21,8 @@ from . import store
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 DAMPING, RATIO = 0.85, 1.0
-#: Rounds end when all scores together change by less than TOLERANCE; DAMPING**ROUNDS bounds what is left.
-TOLERANCE, ROUNDS = 1e-3, 40
+#: Rounds end when no new host is reached and all that is still to flow is at most this share of the least host's score.
+TOLERANCE = 1e-3
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>\\]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,23 +52,24 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
     """edges(src, dst, links), seeds(host, mass) to (host, score), scores summing to 1.
 
-    What reaches a host without edges is not passed on; scaling at the end equals sending it back to the seeds."""
+    What reaches a host without edges is not passed on; scaling at the end equals sending it back to the seeds.
+    Every host that a seed reaches has a row, and every unscaled score is within TOLERANCE of its full value: the flow still to
+    come, which is at most the last round's times damping / (1 - damping), could all go to the host of least score."""
     out = edges.groupBy("src").agg(F.sum("links").alias("all"))
     edges = store.cut(edges.join(out, "src").select("src", "dst", (damping * F.col("links") / F.col("all")).alias("share")))
     total = seeds.agg(F.coalesce(F.sum("mass"), F.lit(0)).cast("double")).first()[0]
     start = store.cut(seeds.where("mass > 0").select("host", ((1 - damping) * F.col("mass") / total).alias("score")))
-    flow, parts = start, start
-    if edges.isEmpty():
-        flow = start.limit(0)
-    left = 1.0
-    for _ in range(ROUNDS):  # the score is the sum of the flows along paths of each length
-        if left < TOLERANCE or flow.isEmpty():
+    parts, reached = start.withColumn("flow", F.col("score")), start.count()
+    while reached and not edges.isEmpty():  # the score is the sum of the flows along paths of each length
+        flow = parts.join(edges, parts["host"] == edges["src"]).where("flow IS NOT NULL").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("flow") * F.col("share")).alias("flow"))
+        flow = flow.select("host", F.col("flow").alias("score"), "flow")
+        parts = store.cut(parts.select("host", "score", F.lit(None).cast("double").alias("flow")).unionByName(flow).groupBy("host").agg(F.sum("score").alias("score"), F.sum("flow").alias("flow")))
+        hosts, left, least = parts.agg(F.count("*"), F.coalesce(F.sum("flow"), F.lit(0.0)) * damping / (1 - damping), F.min("score")).first()
+        if hosts == reached and left <= TOLERANCE * least:
             break
-        flow = store.cut(flow.join(edges, flow["host"] == edges["src"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score")))
-        parts = store.cut(parts.unionByName(flow).groupBy("host").agg(F.sum("score").alias("score")))
-        left = flow.agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0] * damping / (1 - damping)
+        reached = hosts
     whole = parts.agg(F.sum("score")).first()[0] or 1.0
-    return parts.withColumn("score", F.col("score") / whole)
+    return parts.select("host", (F.col("score") / whole).alias("score"))
 
 
 def judged(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -83,7 +84,7 @@ def judged(pages: DataFrame, rules: tuple = RULES, id_col: str = "page_id", url:
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links")
     distrust = propagated(against, hosts.select("host", F.col("blocked").alias("mass")))
     scores = distrust.withColumnRenamed("score", "distrust").join(trust.withColumnRenamed("score", "trust"), "host", "left")
-    bad = store.cut(scores.where(F.col("distrust") > RATIO * F.coalesce("trust", F.lit(0.0))).select(F.col("host").alias("_host")))
+    bad = store.cut(scores.where(F.col("trust").isNull() | (F.col("distrust") > RATIO * F.col("trust"))).select(F.col("host").alias("_host")))
     out = urls.join(bad, urls["host"] == bad["_host"], "left")
     method = F.when(F.col("_host").isNull(), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", method).alias("verdict"))

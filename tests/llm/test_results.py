@@ -473,6 +473,14 @@ def test_link_trust(spark):
     assert [rank.get(h, 0) for h in "abcd"] == pytest.approx(x.tolist(), abs=2e-3)
 
 
+def test_distrust_reaches_hosts_behind_a_hub(spark):
+    link = lambda h: f'<a href="https://{h}/x">'
+    chain = [("http://leaf0.org/", link("bad.net")), ("http://h.org/", link("leaf0.org")), ("http://i.org/", link("h.org")), ("http://j.org/", link("i.org"))]
+    pages = [("http://bad.net/es/a", ""), *chain, *((f"http://leaf{k}.org/", link("bad.net")) for k in range(1, 5000))]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    assert {r["host"] for r in urlrank.judged(df).where("verdict = 'allow'").collect()} == set()
+
+
 def test_urls(spark):
     rows = run(spark, "op1_link_trust").collect()
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
