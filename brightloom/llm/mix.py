@@ -4,8 +4,9 @@ Every document of a source is due target / source size copies. The whole part is
 fractions are rounded in pairs: words are shifted at random between two documents, with the expectation of
 each kept and the pair's sum of words kept exactly, until one of the two fractions is 0 or 1. The other
 document stays open and meets the next one. Chunks of a source run apart; the one document that each leaves
-open goes up a reduction tree until a source has a single open document, which is rounded to the nearer end,
-so a source misses its target by at most half that document's words.
+open goes up a reduction tree until a source has a single open document, whose fraction is the chance that it is
+taken. So every document's expected copies are target / source size, and a source misses its target by less than
+that document's words; pairs are formed from the longest documents to the shortest, which tends to leave a short one.
 
 Defined cases: a null text has no words; a null source is a source of its own and sorts last; documents
 without words take none; repeated rows are drawn on their own; an empty table gives an empty result; other
@@ -26,8 +27,6 @@ WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 #: About so many documents of a source are rounded in one task, and so many open ones at the next level.
 CHUNK = 4096
-#: Where a source's last open document is settled, the best of so many draws counts: the one that misses by fewest words.
-DRAWS = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -36,14 +35,23 @@ def word_count(text: str) -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """`sources` with _place, the place of each source by code point (null last, from 0); no task sees more than a range of them."""
+    order = F.col("source").asc_nulls_last()
+    parts = store.cut(sources.repartitionByRange(store.partitions(sources.sparkSession), order).withColumn("_part", F.spark_partition_id()))
+    counts = sorted(tuple(r) for r in parts.groupBy("_part").count().collect())
+    before = {part: sum(n for p, n in counts if p < part) for part, _ in counts}
+    base = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_part")) if before else F.lit(0)
+    return parts.withColumn("_place", base + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).drop("_part")
+
+
 def targets(rows: DataFrame) -> DataFrame:
     """One row for each source of rows(source, size): size, weight and target, by repeated water-filling.
 
-    Works on one row a source throughout; a round only brings three sums to the driver."""
-    ranked = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (place % len(WEIGHTS) + 1).cast("int"))
-    table = store.cut(ranked.withColumn("weight", weight.cast("double")).withColumn("most", (MOST_COPIES * F.col("source_size")).cast("double")))
+    Works on one row a source throughout; a round only brings two sums to the driver."""
+    sources = ranked(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_place") % len(WEIGHTS) + 1).cast("int"))
+    table = store.cut(sources.withColumn("weight", weight.cast("double")).withColumn("most", (MOST_COPIES * F.col("source_size")).cast("double")))
     total = float(table.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0])
     level = 0.0
     while True:  # each round caps at least one more source, or ends
@@ -92,13 +100,8 @@ def rounded(rows: DataFrame, seed: int = 7) -> DataFrame:
 
     def chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable", ignore_index=True)
-        size, level = pdf["size"].to_numpy(), int(pdf["level"].iloc[0])
-        best = (np.inf, None)
-        for draw in range(DRAWS if level or pdf["chunks"].iloc[0] <= 1 else 1):
-            rng = np.random.default_rng([seed, draw, level, int(pdf["chunk"].iloc[0]) & 0x7FFFFFFF, int(pdf["key"].iloc[0]) & 0x7FFFFFFF])
-            part = round_pairs(size, pdf["part"].to_numpy(), rng)
-            best = min(best, (float(np.abs(np.round(part) - part) @ size), draw, part), key=lambda x: x[0])
-        return pdf.assign(part=best[-1])
+        rng = np.random.default_rng([seed, int(pdf["level"].iloc[0]), int(pdf["chunk"].iloc[0]) & 0x7FFFFFFF, int(pdf["key"].iloc[0]) & 0x7FFFFFFF])
+        return pdf.assign(part=round_pairs(pdf["size"].to_numpy(), pdf["part"].to_numpy(), rng))
 
     done = rows.where("NOT (part > 0 AND part < 1)")
     open_rows = rows.where("part > 0 AND part < 1")
@@ -109,14 +112,15 @@ def rounded(rows: DataFrame, seed: int = 7) -> DataFrame:
         done = done.unionByName(step.where("NOT (part > 0 AND part < 1)"))
         rest = step.where("part > 0 AND part < 1")
         if most <= 1:
-            return done.unionByName(rest.withColumn("part", F.round("part")))
+            chance = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 52)) / (1 << 52)
+            return done.unionByName(rest.withColumn("part", (chance < F.col("part")).cast("double")))
         most = -(-most // CHUNK)
         level += 1
         finer = F.floor(F.col("chunk") / CHUNK)
         open_rows = rest.withColumns({"chunk": finer.cast("long"), "level": F.lit(level)})
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7) -> DataFrame:
     """One row for each document: its id, size, source, source_size, target, copies, taken and the row's hash."""
     sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("key"))
     sizes = store.cut(sizes)
@@ -126,9 +130,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = rows.withColumn("due", F.when(F.col("size") > 0, due).otherwise(0.0)).withColumn("whole", F.floor(F.col("due") + 1e-12).cast("long"))
     chunks = F.ceil(F.col("source_rows") / CHUNK)
     rows = rows.withColumns({"part": F.greatest(F.col("due") - F.col("whole"), F.lit(0.0)), "chunks": chunks, "chunk": F.pmod(F.xxhash64("key"), chunks), "level": F.lit(0)})
-    rows = rows.select("doc_id", "source", "size", "key", "source_size", "target", "whole", "part", "chunks", "chunk", "level")
+    rows = store.cut(rows.select("doc_id", "source", "size", "key", "source_size", "target", "whole", "part", "chunks", "chunk", "level"))
     copies = (F.col("whole") + F.col("part")).cast("long")
-    return rounded(rows).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("whole", "part", "chunks", "chunk", "level")
+    return rounded(rows, seed).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("whole", "part", "chunks", "chunk", "level")
 
 
 def repeated(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ every document through them, one Arrow batch at a time and without a shuffle.
 
 Defined cases: a null or empty text has zero words, fails the base rules and is not kept; nulls in other
 columns pass through; repeated rows are judged alike; an empty table gives an empty result; if there are
-no labels of both classes, the base rules alone decide; extra columns pass through `score`, and the
+no labels of both classes, the base rules alone decide; ids may have any type; of several documents with a
+labelled id the one of least text hash is fitted on; extra columns pass through `score`, and the
 statistics it adds replace columns of the same name.
 """
 
@@ -165,20 +166,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     store.bounded_batches(docs.sparkSession)
     sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # a bounded table: safe to broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(sample), "_id")
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("k")).join(F.broadcast(sample), "_id")
 
     def features(batches):
         for batch in batches:
-            d = {k: batch.column(k) for k in ("_id", "_text", "_y")}
-            _, x = statistics(d["_text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([d["_id"].cast(pa.int64()), d["_y"].cast(pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], ["i", "y", "x"])
+            _, x = statistics(batch.column("_text").to_pylist())
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("i", "k", "y")), lists], ["i", "k", "y", "x"])
 
-    got = rows.mapInArrow(store.lean(features), "i long, y long, x array<double>").toArrow()
+    rows = rows.select(F.xxhash64("_id").alias("i"), "k", (F.col("_y") > 0).cast("long").alias("y"), "_text")
+    rows = rows.mapInArrow(store.lean(features), "i long, k long, y long, x array<double>")
+    got = rows.groupBy("i").agg(F.min_by(F.struct("y", "x"), "k").alias("_r")).select("i", "_r.*").toArrow()
     if not len(got):
         return None
     x, y, i = np.array(got["x"].to_pylist()), np.asarray(got["y"]), np.asarray(got["i"])
-    order = np.lexsort((*x.T, i))
-    x, y = x[order], 1.0 - (y[order] > 0)
+    order = np.argsort(i)
+    x, y = x[order], 1.0 - y[order]
     return boost(x, y, list(FEATURES.values())) if 0 < y.sum() < len(y) else None
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,13 +20,17 @@ BATCH_BYTES = 2 << 20
 
 #: Paths of the tables that `written` made in this session.
 tables: list[str] = []
+#: The session's Arrow settings before `bounded_batches` lowered them.
+settings: dict[str, str | None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder."""
+    """The cluster's spark.checkpoint.dir; where it is unset, a temporary folder if all runs on one machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not path and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="brightloom-"))
     return path or sc.getCheckpointDir()
 
@@ -45,17 +50,30 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Delete the tables that `written` left; results that still read them must have been saved before."""
+def cleanup(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that `written` left, but for the first `since`, and (for all of them) restore the Arrow settings.
+
+    Results that still read the tables must have been saved before."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while tables:
+    while len(tables) > since:
         table = path(tables.pop())
         table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(table, True)
+    if not since:
+        for key, old in settings.items():
+            spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        settings.clear()
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are no longer held: it does so once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that very long texts do not meet in one batch."""
+    """Keep Arrow batches small, so that very long texts do not meet in one batch. Plans read these settings when they run; `cleanup` restores them."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        settings.setdefault(key, spark.conf.get(key, None))
         spark.conf.set(key, most)
 
 

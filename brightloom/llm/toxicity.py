@@ -4,12 +4,15 @@ P(grade > k) = sigmoid(w.x - threshold[k]): the weights are shared, only the ord
 x has log(1 + count) for each known word. Labels say only whether a document is toxic, so the grades for
 fitting come from them: 0 for documents that are not, and 1 to 3 for thirds of the toxic ones by the share
 of their words that tell toxic from other labelled documents. The expected severity is the sum over k of
-P(grade > k), between 0 and 3. Fitting runs on the driver over a bounded sample; scoring passes every whole
-text through the weights batch by batch, without a shuffle.
+P(grade > k), between 0 and 3. A word is a feature if its document counts in the two classes differ by at least
+SIGNIFICANT in the squared Wald statistic of its log odds ratio (each count plus a half); there is no other cut of
+the vocabulary. Only features leave the executors. Fitting runs on the driver over the sample, bounded by MAX_TRAIN_ROWS
+rows and MAX_CELLS (row, feature) pairs; scoring passes every whole text through the weights batch by batch, without a shuffle.
 
 Defined cases: words are runs of letters and digits, A-Z lower-cased; a null or empty text has no words and
-gets the score of none; without labels of both classes every severity is 0; null ids and labels are not
-fitted on; repeated rows score alike; an empty table gives an empty result; other columns are not used.
+gets the score of none; without labels of both classes every severity is 0; if no word is a feature all documents get
+the classes' shares; null ids and labels are not fitted on; ids may have any type; of several documents with a labelled
+id the one of least text hash is fitted on; repeated rows score alike; an empty table gives an empty result; other columns are not used.
 """
 
 from __future__ import annotations
@@ -18,17 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store, tokens
 
-#: Labelled rows used for fitting at most (lowest hash of the id first), and words known at most (most documents first).
-MAX_TRAIN_ROWS, MAX_WORDS = 20_000, 1 << 16
-MIN_DOCUMENTS = 5
+#: Labelled rows used for fitting at most (lowest hash of the id first), and (row, feature) pairs in them.
+MAX_TRAIN_ROWS, MAX_CELLS = 20_000, 8_000_000
 GRADES = 4
-#: Words enter the regression if their documents differ between the classes by at least this chi-square (1 degree of freedom).
-CHI_SQUARE = 20.0
+SIGNIFICANT = 8.0
 
 #: Lower-cases A-Z and turns every other ASCII byte but letters and digits into a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -54,9 +55,11 @@ class Model:
     def above(self, texts: list[bytes | None]) -> np.ndarray:
         """P(grade > k), a row for each text."""
         text, h, n = words(texts)
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        value = np.where(self.known[at] == h, self.weights[at], 0.0) * np.log1p(n)
-        margin = np.bincount(text, value, len(texts))
+        margin = np.zeros(len(texts))
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            value = np.where(self.known[at] == h, self.weights[at], 0.0) * np.log1p(n)
+            margin = np.bincount(text, value, len(texts))
         return 1 / (1 + np.exp(np.clip(self.thresholds - margin[:, None], -50, 50)))
 
 
@@ -72,14 +75,6 @@ def graded(row: np.ndarray, word: np.ndarray, count: np.ndarray, toxic: np.ndarr
     return np.where(toxic > 0, 1 + np.searchsorted(cuts, share, "left"), 0)
 
 
-def associated(row: np.ndarray, word: np.ndarray, toxic: np.ndarray, n_words: int) -> np.ndarray:
-    """Which words pass CHI_SQUARE."""
-    n, bad = len(toxic), toxic.sum()
-    a, df = np.bincount(word, toxic[row], n_words), np.bincount(word, minlength=n_words)
-    spread = bad * (n - bad) * df * (n - df)
-    return n * (n * a - bad * df) ** 2 >= CHI_SQUARE * np.maximum(spread, 1)
-
-
 def fit(row: np.ndarray, word: np.ndarray, count: np.ndarray, grade: np.ndarray, n_words: int, rounds: int = 200, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the penalised likelihood of the cumulative-link model."""
     x = np.log1p(count)
@@ -113,37 +108,52 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     store.bounded_batches(docs.sparkSession)
     sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)  # a bounded table: safe to broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(sample), "_id")
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("k")).join(F.broadcast(sample), "_id")
 
     def features(batches):
         for batch in batches:
             text, h, n = words(batch.column("_text").to_pylist())
             cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
             lists = [pa.LargeListArray.from_arrays(cut, pa.array(x)).cast(pa.list_(pa.int64())) for x in (h.view(np.int64), n)]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.int64()), batch.column("_y").cast(pa.int64()), *lists], ["i", "y", "h", "n"])
-
-    rows = rows.mapInArrow(store.lean(features), "i long, y long, h array<long>, n array<long>")
-    # Only words in MIN_DOCUMENTS labelled documents go to the driver: at most MAX_WORDS of them.
-    rows = store.cut(rows)
-    common = rows.select(F.explode("h").alias("w")).groupBy("w").count().where(F.col("count") >= MIN_DOCUMENTS).orderBy(F.desc("count"), "w").limit(MAX_WORDS)
-    known = np.sort(np.asarray(common.toArrow()["w"]).astype(np.int64))
-    got = rows.toArrow()
-    toxic = (np.asarray(got["y"]) > 0).astype(float)
-    if not len(known) or not 0 < toxic.sum() < len(toxic):
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("i", "k", "y")] + lists, ["i", "k", "y", "h", "n"])
+
+    rows = rows.select(F.xxhash64("_id").alias("i"), "k", (F.col("_y") > 0).cast("long").alias("y"), "_text")
+    rows = rows.mapInArrow(store.lean(features), "i long, k long, y long, h array<long>, n array<long>")
+    rows = store.cut(rows.groupBy("i").agg(F.min_by(F.struct("y", "h", "n"), "k").alias("_r")).select("i", "_r.*"))
+    total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < bad < total:
         return None
-    h, n = (np.asarray(got[c].combine_chunks().flatten()) for c in ("h", "n"))
-    row = np.repeat(np.arange(len(toxic)), np.asarray(got["h"].combine_chunks().value_lengths()))
-    order = np.argsort(np.asarray(got["i"]), kind="stable")
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    keep = known[at] == h
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    row, word, count, toxic = rank[row[keep]], at[keep], n[keep].astype(float), toxic[order]
-    passed = associated(row, word, toxic, len(known))
-    if not passed.any():
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    c, d = F.lit(bad + 0.5) - F.col("a"), F.lit(total - bad + 0.5) - F.col("b")
+    wald = F.pow(F.log(a * d / (b * c)), 2) / (1 / a + 1 / b + 1 / c + 1 / d)
+    known = rows.select("y", F.explode("h").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(wald >= SIGNIFICANT).select("w")
+    known = np.sort(np.asarray(known.toArrow()["w"]).astype(np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def kept(batches):
+        for batch in batches:
+            out = {"i": batch.column("i"), "y": batch.column("y"), "w": [], "n": []}
+            for h, n in zip(batch.column("h"), batch.column("n"), strict=True):
+                h, n = (np.asarray(x.values, np.int64) for x in (h, n))
+                at = np.minimum(np.searchsorted(shared.value, h), max(len(shared.value) - 1, 0))
+                keep = shared.value[at] == h if len(shared.value) else np.zeros(len(h), bool)
+                out["w"].append(at[keep].astype(np.int32))
+                out["n"].append(n[keep])
+            lists = [pa.array(out["w"], pa.list_(pa.int32())), pa.array(out["n"], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([out["i"], out["y"], *lists], ["i", "y", "w", "n"])
+
+    rows = store.cut(rows.mapInArrow(store.lean(kept), "i long, y long, w array<int>, n array<long>"))
+    upto = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)  # MAX_TRAIN_ROWS rows of numbers at most
+    cells = rows.select("i", F.sum(F.size("w")).over(upto).alias("_cells")).where(F.col("_cells") <= MAX_CELLS).select("i")
+    got = rows.join(F.broadcast(cells), "i").toArrow().sort_by("i").combine_chunks()
+    shared.destroy()
+    toxic = np.asarray(got["y"]).astype(float)
+    word, count = (np.asarray(got[c].combine_chunks().flatten()) for c in ("w", "n"))
+    row = np.repeat(np.arange(len(toxic)), np.asarray(got["w"].combine_chunks().value_lengths()))
+    if not 0 < toxic.sum() < len(toxic):
         return None
-    keep = passed[word]
-    row, word, count, known = row[keep], (np.cumsum(passed) - 1)[word[keep]], count[keep], known[passed]
+    count = count.astype(float)
     w, theta = fit(row, word, count, graded(row, word, count, toxic, len(known)), len(known))
     known = known.view(np.uint64)
     order = np.argsort(known)

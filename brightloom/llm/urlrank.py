@@ -55,7 +55,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) ->
     What reaches a host without edges is not passed on; scaling at the end equals sending it back to the seeds.
     Every host that a seed reaches has a row, and every unscaled score is within TOLERANCE of its full value: the flow still to
     come, which is at most the last round's times damping / (1 - damping), could all go to the host of least score."""
-    out = edges.groupBy("src").agg(F.sum("links").alias("all"))
+    out = store.cut(edges.groupBy("src").agg(F.sum("links").alias("all")))  # so that a host with very many links does not stay in the sums' task
     edges = store.cut(edges.join(out, "src").select("src", "dst", (damping * F.col("links") / F.col("all")).alias("share")))
     total = seeds.agg(F.coalesce(F.sum("mass"), F.lit(0)).cast("double")).first()[0]
     start = store.cut(seeds.where("mass > 0").select("host", ((1 - damping) * F.col("mass") / total).alias("score")))

@@ -60,6 +60,26 @@ def test_empty_second_table(name, nasty, labels, benchmark):
     assert n == (0 if name == "hits" else nasty.count())
 
 
+@pytest.mark.parametrize(("name", "kind"), [("quality", "string"), ("toxicity", "string"), ("hits", "string"), ("hits", "int"), ("hits", "decimal(20,0)"), ("suffixes", "string")])
+def test_any_type_of_id(name, kind, nasty, labels, benchmark):
+    named = lambda df, c: df.withColumn(c, F.concat(F.lit("d"), F.col(c)) if kind == "string" else F.col(c).cast(kind))
+    out = OPERATORS[name](named(nasty, "doc_id"), named(labels, "doc_id"), named(benchmark, "item_id"))
+    assert out.schema["doc_id"].dataType.simpleString() == kind
+    same = OPERATORS[name](nasty, labels, benchmark)
+    ids = lambda df: sorted(str(r[0]).removeprefix("d") for r in df.select("doc_id").collect())
+    assert ids(out) == ids(same)
+
+
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    docs = spark.range(3000).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("some words "), F.col("id") % 9).alias("text"))
+    few = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (2, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    assert quality.train(docs, few, max_rows=2) is None or quality.train(docs, few, max_rows=2).depth
+    model = toxicity.train(docs, few)
+    assert model is not None and len(model.known) == 0
+    shares = {round(r["p_toxic"], 2) for r in toxicity.scored(docs, model).select("p_toxic").distinct().collect()}
+    assert shares == {0.5}
+
+
 def test_quality_of_blank_texts(nasty, labels):
     rows = quality.score(nasty, None).where("trim(coalesce(text, '')) = ''").collect()
     assert rows and all(r["base_failed"] and not r["kept"] and r["n_words"] == 0 for r in rows)
@@ -88,6 +108,38 @@ def test_urls(spark):
     assert urlrank.judged(pages.limit(0)).count() == 0
 
 
+def test_pages_with_clashing_columns_and_long_html(spark):
+    names = ["host", "path", "rule", "verdict", "src", "dst", "links", "_host", "score"]
+    html = '<a href="https://b.org/x">' * 20_000
+    pages = spark.createDataFrame([(1, "http://a.net/es/1", html), (2, "http://b.org/", None), (3, "http://c.org/", '<a href="//a.net">'), (3, "http://c.org/", '<a href="//a.net">')], "page_id long, url string, html string")
+    pages = pages.select("*", *[F.lit("x").alias(n) for n in names])
+    got = sorted((r["page_id"], r["host"], r["verdict"]) for r in urlrank.judged(pages).collect())
+    assert got == [(1, "a.net", "block"), (2, "b.org", "allow"), (3, "c.org", "block"), (3, "c.org", "block")]
+
+
+def test_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        store.shared_dir(Session())
+
+
+def test_arrow_settings_are_restored(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    store.cleanup(spark)
+    before = spark.conf.get(key)
+    store.bounded_batches(spark)
+    assert int(spark.conf.get(key)) == store.BATCH_ROWS
+    store.cleanup(spark)
+    assert spark.conf.get(key) == before
+
+
 def test_inputs_are_not_changed_by_name_clashes(nasty):
     out = shard.sharded(nasty.withColumn("shard", F.lit("old")))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_row", "size", "shard", "slot"] and out.schema["shard"].dataType.simpleString() == "int"
