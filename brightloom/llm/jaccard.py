@@ -1,20 +1,28 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
-Equal texts form one class. Each class has TREES signatures of LONGEST one-byte MinHash labels, packed into
-one long a tree: sorted, these longs are a prefix trie, and a shorter prefix is a shift. The matched prefix
-is shortened from the longest until the chance that a pair at the threshold meets in some tree reaches the
-target recall. Classes that meet form candidate components; within these, exact Jaccard similarities of
-blocks against blocks are taken as matrix products, and only counts and a spanning forest of the links leave
-a task, never the pairs.
+Equal texts form one class. Each class has TREES signatures of LONGEST one-byte MinHash labels: its paths in that many
+prefix tries. The matched prefix is shortened class by class, from LONGEST labels on, until a partner meets it in some
+trie with the target probability, whatever the partner's similarity: sets of m shingles have only certain similarities
+of the threshold or more, and for small sets the least of these is well above it (for 7 shingles 6/7), so that longer
+prefixes do. Two classes meet at the shorter of what either needs, no shorter, and a class enters the levels of its
+possible partners. A node of a trie (level, tree, prefix) is a bucket; only equality of prefixes counts, so nodes are
+grouped by hash rather than in sorted order. Buckets with the same classes are verified once, large ones block against
+block. Exact Jaccard similarities are taken as matrix products; a pair counts in the first of the buckets that it
+shares, and only counts and a spanning forest of the links leave a task, never the pairs. Components are those of
+verified links. So work grows with the pairs that collide, not with the components that they would form.
 
 Defined cases: words are as in `tokens`; a text of one to four words has one shingle, all its words; a null
 text or one without words is a class by itself and links to nothing; rows with a null id take part and
 are counted; repeated rows are copies of each other; an empty table gives an empty result; input columns
-other than the id and the text are not used. Classes are numbered by a 64-bit hash of the text.
+other than the id and the text are not used. Classes are numbered by a 64-bit hash of the text, so two different texts
+of one hash would count as copies: of 2e10 texts about 10 pairs.
 """
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -28,6 +36,8 @@ TREES, LONGEST, LABEL_BITS = 20, 8, 8
 TARGET_RECALL = 0.997
 #: Classes and shingles that a block holds at most (about: classes are dealt to blocks by hash).
 BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 18
+#: Sets of more shingles are given the prefix that the threshold itself needs.
+FEW = 64
 
 _seeds = tokens.mix(np.arange(1, 2 * TREES * LONGEST + 1, dtype=np.uint64))
 FLIP = (_seeds[: TREES * LONGEST] >> np.uint64(32)).astype(np.uint32)[:, None]
@@ -42,6 +52,21 @@ def prefix_length(threshold: float = THRESHOLD, target: float = TARGET_RECALL, t
     return 1
 
 
+def least_similarity(m: int, n: int, threshold: float) -> float | None:
+    """The least Jaccard similarity not below the threshold that sets of m and n shingles can have."""
+    both = math.ceil(threshold * (m + n) / (1 + threshold) - 1e-9)
+    return both / (m + n - both) if both <= min(m, n) else None
+
+
+@functools.cache
+def descent(threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> tuple[tuple[int, ...], ...]:
+    """For each number of shingles up to FEW, and for more in place 0, the lengths of the prefixes that a class enters with, shortest first."""
+    base = prefix_length(threshold, target)
+    partners = {m: {n: x for n in range(1, 2 * FEW) if (x := least_similarity(m, n, threshold))} for m in range(1, FEW + 1)}
+    depth = {m: prefix_length(min(p.values()), target) for m, p in partners.items()}
+    return ((base,), *(tuple(sorted({max(depth[m], depth.get(n, base)) for n in partners[m]})) for m in range(1, FEW + 1)))
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """TREES longs; in each the LONGEST labels, first label in the top bits."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -49,12 +74,20 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     for i in range(0, len(x), 2048):
         np.minimum(least, ((x[i : i + 2048] ^ FLIP) * TIMES).min(1), out=least)
     labels = ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-    return labels.reshape(TREES, LONGEST).copy().view(">u8").ravel().astype(np.uint64).view(np.int64)
+    return labels.reshape(TREES, LONGEST).copy().view(">u8").ravel().astype(np.uint64)
+
 
+def nodes(shingles: np.ndarray, lengths: tuple[tuple[int, ...], ...]) -> np.ndarray:
+    """Hashes of the nodes (level, tree, prefix) on a class's paths, at the levels it enters."""
+    path, tree = signature(shingles), np.arange(TREES, dtype=np.uint64)
+    levels = lengths[len(shingles) if len(shingles) < len(lengths) else 0]
+    each = [tokens.mix((path >> np.uint64(LABEL_BITS * (LONGEST - k))) * tokens.BASE + tree + np.uint64(k * TREES)) for k in levels]
+    return np.concatenate(each).view(np.int64)
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class, n_shingles, signature); class is null for texts without words."""
-    spark = docs.sparkSession
+
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class, n_shingles, keys); class is null for texts without words."""
+    spark, lengths = docs.sparkSession, descent(threshold)
     store.bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("class"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -64,26 +97,39 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             b = tokens.read(batch.column("text").to_pylist())
             sh, ptr = tokens.shingles(b.hashes(), b.ptr, SHINGLE)
             n = np.diff(ptr)
-            sigs = [signature(sh[ptr[i] : ptr[i + 1]]) if n[i] else None for i in range(len(n))]
+            keys = [nodes(sh[ptr[i] : ptr[i + 1]], lengths) if n[i] else None for i in range(len(n))]
             cls = pa.array(np.asarray(batch.column("class")), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), cls, pa.array(n, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "class", "n_shingles", "signature"])
+            columns = [batch.column("doc_id"), cls, pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "class", "n_shingles", "keys"])
+
+    return rows.mapInArrow(store.lean(sign), f"doc_id {kind}, class long, n_shingles long, keys array<long>")
 
-    return rows.mapInArrow(store.lean(sign), f"doc_id {kind}, class long, n_shingles long, signature array<long>")
 
+def colliding(classes: DataFrame) -> tuple[DataFrame, int]:
+    """classes(class, n_shingles, keys) that meet others: class and its buckets (key, blocks); and how many packs the one-block buckets fill.
 
-def candidates(classes: DataFrame, depth: int) -> DataFrame:
-    """(class, component) of the classes that share a prefix of `depth` labels with another one in some tree."""
-    paths = classes.select("class", F.posexplode("signature").alias("tree", "path"))
-    paths = paths.select("class", "tree", F.shiftrightunsigned("path", LABEL_BITS * (LONGEST - depth)).alias("prefix"))
-    nodes = paths.groupBy("tree", "prefix").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first <> last")
-    edges = paths.join(store.cut(nodes.drop("last")), ["tree", "prefix"]).select(F.col("class").alias("a"), F.col("first").alias("b"))
-    return graph.components(edges).select(F.col("node").alias("class"), F.col("root").alias("component"))
+    Of buckets with the same classes the one of least key stays, so the least key that two classes share always does."""
+    own = classes.select("class", "n_shingles", F.explode("keys").alias("key"))
+    full = own.groupBy("key").agg(
+        F.count("*").alias("m"), F.sum("n_shingles").alias("s"), F.min("class").alias("first"), F.max("class").alias("last"),
+        F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(5))).alias("y"),
+    )
+    full = full.where("first <> last").groupBy("m", "s", "first", "last", "x", "y").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("s") / BLOCK_SHINGLES)).cast("int")
+    full = store.cut(full.select("key", "m", "s", blocks.alias("blocks")))
+    small = full.where("blocks = 1").agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
+    packs = max(1, -(-small["s"] // BLOCK_SHINGLES), -(-small["m"] // (4 * BLOCK_ROWS)))
+    met = own.select("class", "key").join(full.select("key", "blocks"), "key")
+    return met.groupBy("class").agg(F.collect_list(F.struct("key", "blocks")).alias("buckets")), packs
 
 
-def _linked(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean matrix: which of the sets numbered `first` and `second` have the Jaccard similarity."""
+def _shared(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """How many elements the sets numbered `first` and `second` share, as a matrix."""
     sizes = np.array([len(s) for s in sets])
     values, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    both = np.zeros((len(first), len(second)), np.float32)
+    if not len(values):
+        return both
     order = np.argsort(values, kind="stable")
     values, member = values[order], member[order]
     new = np.concatenate([[True], values[1:] != values[:-1]])
@@ -91,37 +137,41 @@ def _linked(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, thres
     shared = np.bincount(column) > 1
     keep = shared[column]
     column, member = (np.cumsum(shared) - 1)[column[keep]], member[keep]
-    both = np.zeros((len(first), len(second)), np.float32)
     step = 8192
     bounds = np.searchsorted(column, np.arange(0, int(shared.sum()) + step, step))
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        part = np.zeros((len(sets), step), np.float32)
+        part = np.zeros((len(sets), int(column[hi - 1]) % step + 1 if hi > lo else 0), np.float32)
         part[member[lo:hi], column[lo:hi] % step] = 1
         both += part[first] @ part[second].T
-    return both >= threshold * (sizes[first][:, None] + sizes[second][None, :] - both) - 1e-9
+    return both
 
 
 def _verify(threshold: float):
     def verify(table: pa.Table) -> pa.Table:
         out = {"class": [], "links": [], "classes": [], "root": []}
-        cols = {k: np.asarray(table[k]) for k in ("component", "class", "rows", "block", "low", "high")}
-        texts = table["shingles"]
-        order = np.lexsort((cols["class"], cols["high"], cols["low"], cols["component"]))
+        cols = {k: np.asarray(table[k]) for k in ("key", "class", "rows", "block", "low", "high")}
+        texts, keys = table["shingles"], table["keys"]
+        order = np.lexsort((cols["class"], cols["high"], cols["low"], cols["key"]))
         same = np.ones(len(order), bool)
-        for k in ("component", "low", "high"):
+        for k in ("key", "low", "high"):
             same[1:] &= cols[k][order][1:] == cols[k][order][:-1]
         starts = np.flatnonzero(~same | (np.arange(len(order)) == 0))
         for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
             rows = order[lo:hi]
             cls, at = np.unique(cols["class"][rows], return_index=True)  # a repeated row of one class counts once
             rows = rows[at]
-            sets = [np.frombuffer(texts[int(i)].as_py(), np.uint64) for i in rows]
             weight, block, low, high = cols["rows"][rows], cols["block"][rows], cols["low"][rows[0]], cols["high"][rows[0]]
             first, second = np.flatnonzero(block == low), np.flatnonzero(block == high)
-            if not len(first) or not len(second):
+            if not len(first) or not len(second) or len(rows) < 2:
                 continue
+            sets = [np.frombuffer(texts[int(i)].as_py(), np.uint64) for i in rows]
+            sizes = np.array([len(s) for s in sets])
+            both = _shared(sets, first, second)
+            found = both >= threshold * (sizes[first][:, None] + sizes[second][None, :] - both) - 1e-9
+            own = [np.asarray(keys[int(i)].values) for i in rows]
+            own = [k[k < cols["key"][rows[0]]] for k in own]
+            found &= _shared(own, first, second) == 0  # else they have met in an earlier bucket
             link = np.zeros((len(rows), len(rows)), bool)
-            found = _linked(sets, first, second, threshold)
             link[np.ix_(first, second)] = found
             link |= link.T
             np.fill_diagonal(link, False)
@@ -143,19 +193,8 @@ def _verify(threshold: float):
     return verify
 
 
-def dealt(members: DataFrame) -> tuple[DataFrame, int]:
-    """members(component, class, rows, n_shingles) with blocks and block; and how many packs the one-block components fill."""
-    members = store.cut(members)
-    sizes = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("s"))
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_ROWS, F.col("s") / BLOCK_SHINGLES))
-    sizes = store.cut(sizes.withColumn("blocks", blocks))
-    small = sizes.where("blocks = 1").agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
-    packs = max(1, -(-small["s"] // BLOCK_SHINGLES), -(-small["m"] // (4 * BLOCK_ROWS)))
-    return members.join(sizes.select("component", "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("class", F.lit(3)), "blocks")), packs
-
-
 def verified(rows: DataFrame, packs: int, threshold: float = THRESHOLD) -> DataFrame:
-    """rows(component, class, rows, blocks, block, text) to (class, links, classes, root), a row for each class and block pair with links.
+    """rows(class, rows, keys, buckets, text) to (class, links, classes, root), a row for each class and block pair with links.
 
     links: the `rows` of the classes linked to it there; classes: their number; root: least class it is connected to there."""
 
@@ -163,20 +202,24 @@ def verified(rows: DataFrame, packs: int, threshold: float = THRESHOLD) -> DataF
         for batch in batches:
             b = tokens.read(batch.column("text").to_pylist())
             sh, ptr = tokens.shingles(b.hashes(), b.ptr, SHINGLE)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array([sh[ptr[i] : ptr[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())], ["component", "class", "rows", "blocks", "block", "shingles"])
+            sets = pa.array([sh[ptr[i] : ptr[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], sets], ["class", "rows", "keys", "buckets", "shingles"])
 
-    rows = rows.select("component", "class", "rows", "blocks", "block", "text").mapInArrow(store.lean(shingled), "component long, class long, rows long, blocks long, block long, shingles binary")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    kinds = "class long, rows long, keys array<long>, buckets array<struct<key:long,blocks:int>>, shingles binary"
+    rows = rows.select("class", "rows", "keys", "buckets", "text").mapInArrow(store.lean(shingled), kinds)
+    rows = rows.select("class", "rows", "keys", "shingles", F.inline("buckets"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class", F.lit(3)), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.xxhash64("component", "low", "high"))
-    return rows.select("component", "class", "rows", "block", "low", "high", "shingles", pack.alias("pack")).groupBy("pack").applyInArrow(store.lean_group(_verify(threshold)), "class long, links long, classes long, root long")
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(packs))).otherwise(F.xxhash64("key", "low", "high"))
+    rows = rows.select("class", "rows", "keys", "shingles", "key", "block", "low", "high", pack.alias("pack"))
+    return rows.groupBy("pack").applyInArrow(store.lean_group(_verify(threshold)), "class long, links long, classes long, root long")
 
 
-def links(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`verified` for the candidate classes, whose texts are read from their representatives."""
-    members, packs = dealt(found.join(classes.select("class", "rep", "rows", "n_shingles"), "class"))
+def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`verified` for the colliding classes, whose texts are read from their representatives."""
+    met, packs = colliding(classes)
+    members = store.small(store.cut(met.join(classes.select("class", "rep", "rows", "keys"), "class")))
     texts = docs.select(F.xxhash64(text_col).alias("_class"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
-    members = store.small(store.cut(members))
     rows = texts.join(members, (F.col("_class") == F.col("class")) & F.col("_id").eqNullSafe(F.col("rep")))
     return verified(rows, packs, threshold)
 
@@ -184,11 +227,12 @@ def links(docs: DataFrame, classes: DataFrame, found: DataFrame, threshold: floa
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: doc_id, class (of equal texts), class_id (least id in it), group_id (least id
     connected to it by links), n_links (other documents linked to it, copies too), n_class_links (different texts linked)."""
-    rows = store.cut(signed(docs, id_col, text_col))
+    rows = store.cut(signed(docs, id_col, text_col, threshold))
     worded = rows.where("class IS NOT NULL")
-    classes = store.cut(worded.groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
-    found = candidates(classes, prefix_length(threshold))
-    linked = store.cut(links(docs, classes, found, threshold, id_col, text_col))
+    facts = [F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")]
+    classes = store.cut(worded.groupBy("class").agg(*facts))
+    linked = store.cut(links(docs, classes, threshold, id_col, text_col))
+    store.freed(docs.sparkSession)
     roots = graph.components(linked.select(F.col("class").alias("a"), F.col("root").alias("b")))
     counts = linked.groupBy("class").agg(F.sum("links").alias("links"), F.sum("classes").alias("n_class_links"))
     facts = classes.select("class", "rep", "rows").join(counts, "class", "left").join(roots.withColumnRenamed("node", "class"), "class", "left")
