@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -50,14 +51,19 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(table, True)
+    if path in tables:
+        tables.remove(path)
+
+
 def cleanup(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables that `written` left, but for the first `since`, and (for all of them) restore the Arrow settings.
 
     Results that still read the tables must have been saved before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while len(tables) > since:
-        table = path(tables.pop())
-        table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(table, True)
+    for path in tables[since:]:
+        delete(spark, path)
     if not since:
         for key, old in settings.items():
             spark.conf.unset(key) if old is None else spark.conf.set(key, old)
@@ -65,9 +71,14 @@ def cleanup(spark: SparkSession, since: int = 0) -> None:
 
 
 def freed(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that are no longer held: it does so once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of tables that are no longer held: it does so once the driver's garbage is collected.
+
+    Spark's event queues hold the plan of the last query until they have taken the next event, hence the query of nothing."""
+    for _ in range(2):
+        gc.collect()
+        spark.sql("SELECT 1").collect()
+        time.sleep(0.4)
+        spark.sparkContext._jvm.System.gc()
 
 
 def bounded_batches(spark: SparkSession) -> None:
