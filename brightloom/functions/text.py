@@ -1,7 +1,7 @@
 """Text functions: normalizers, labels and counts as Column expressions.
 
-Only Unicode composition (NFKC, NFC) needs Python; it is an Arrow UDF that `normalize` adds on request, since
-it leaves ASCII and already composed text as it is.
+Only Unicode composition (NFKC, NFC) needs Python; its Arrow UDF gets no text but those with a character that
+composition may change.
 """
 
 from __future__ import annotations
@@ -23,16 +23,31 @@ CYRILLIC = {
 }
 #: White space beyond what Java's plain \\s matches.
 SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-#: Characters that a transcript may hold, as the inside of a character class.
+# Fixed value: characters that a transcript may hold, as the inside of a character class.
 EXPECTED = r"0-9A-Za-zА-Яа-яЁёЎўҚқҒғҲҳ\s'`ʻʼ’.,!?;:()/\"-"
 
 
+def _stable() -> str:
+    """The inside of a character class: Latin, Greek and Cyrillic letters and general punctuation that NFKC and NFC never change."""
+    keeps = [c for r in (range(0x80), range(0x80, 0x530), range(0x2010, 0x20D0)) for c in r if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c))]
+    runs = [[keeps[0], keeps[0]]]
+    for c in keeps[1:]:
+        if c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+
+
+UNSTABLE = f"[^{_stable()}]"
+
+
 def _composed(form: str, text: Column) -> Column:
     @F.pandas_udf("string")
     def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
+        return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
-    return compose(text)
+    return F.coalesce(compose(F.when(text.rlike(UNSTABLE), text)), text)
 
 
 def nfkc(text: Column) -> Column:
@@ -69,11 +84,9 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def normalize(text: Column, punctuation: bool = True, lower: bool = True, latin: bool = True, apostrophes: bool = True, marks: bool = True, compose: bool = False) -> Column:
+def normalize(text: Column, punctuation: bool = True, lower: bool = True, latin: bool = True, apostrophes: bool = True, marks: bool = True) -> Column:
     """The Uzbek normalizer; null gives the empty string. `punctuation` false turns all marks but ' into spaces."""
-    text = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))  # then the plain \\s covers all white space
-    if compose:
-        text = nfkc(text)
+    text = F.translate(nfkc(F.coalesce(text, F.lit(""))), SPACES, " " * len(SPACES))  # then the plain \\s covers all white space
     if apostrophes:
         text = F.translate(text, APOSTROPHES, "'" * len(APOSTROPHES))
     if marks:
@@ -95,11 +108,9 @@ def normalize(text: Column, punctuation: bool = True, lower: bool = True, latin:
     return F.trim(F.regexp_replace(F.regexp_replace(text, "''+", "'"), r" \s+|[\t-\r]\s*", " "))  # a single space stays as it is
 
 
-def normalize_legacy(text: Column, lower: bool = False, compose: bool = False) -> Column:
+def normalize_legacy(text: Column, lower: bool = False) -> Column:
     """The older normalizer: control characters to spaces, every apostrophe to the left single quote."""
-    text = F.coalesce(text, F.lit(""))
-    if compose:
-        text = nfc(text)
+    text = nfc(F.coalesce(text, F.lit("")))
     text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", " ")
     text = F.translate(text, "ʼ`'", "‘‘‘")
     return collapsed(F.lower(text) if lower else text)

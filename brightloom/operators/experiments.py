@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sampling
+
 WER_TIE, CER_TIE = 0.003, 0.001
 
 
@@ -45,8 +47,12 @@ def divergence(curve: DataFrame, run: str, step: str, loss: str) -> DataFrame:
     return out.withColumn("diverged", (F.col("losses") >= 6) & (F.col("last_median") > F.greatest(1.5 * F.col("first_median"), F.col("first_median") + 5)))
 
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """Adds the rank by the columns, ascending and nulls last; ties by the order of their hash."""
+    keys = [F.struct(F.col(c).isNull(), F.col(c)).alias(f"_o{i}") for i, c in enumerate(order)]
+    keyed = df.select("*", *keys, F.xxhash64(*df.columns).alias("_h"), F.lit(1.0).alias("_one"))
+    out = sampling.running(keyed, [*[f"_o{i}" for i in range(len(order))], "_h"], "_one", "_before")
+    return out.select((F.col("_before") + 1).cast("long").alias("rank"), *df.columns)
 
 
 def stability(hallucination: Column, confusion: Column, *finite: Column, limit: float = 0.10) -> Column:

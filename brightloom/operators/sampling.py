@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from .dedup import cut
+from .storage import cut
 
 
 def stable_key(seed: int, *parts: Column | str) -> Column:
@@ -23,17 +23,17 @@ def stable_key(seed: int, *parts: Column | str) -> Column:
 def running(df: DataFrame, order: list[str], value: str, out: str, by: list[str] | None = None, ranges: int = 64) -> DataFrame:
     """Adds the sum of `value` over the rows before each (0 for the first), within `by`, in the order.
 
-    With `by`, one window each. Without it, rows are cut at quantiles of the first order column's hash-free rank:
-    partial sums per range are taken first, then a window runs within each range."""
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0.0)))
-    ranged = cut(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
-    sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_until"))
-    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.join(F.broadcast(before), "_range")  # one row a range: at most `ranges`
-    return joined.withColumn(out, F.col("_until") + F.coalesce(F.sum(value).over(w), F.lit(0.0))).drop("_range", "_until")
+    Rows are dealt by ranges of (by, order): sums of the ranges are taken first, then a window runs within each
+    range, so neither the whole table nor a large group meets in one task."""
+    by = by or []
+    ranged = cut(df.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
+    upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(upto), F.lit(0.0)).alias("_until"))
+    same = [F.col("_range") == F.col("_r"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
+    w = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(before if by else F.broadcast(before), same)  # without `by` one row a range: at most `ranges`
+    return joined.withColumn(out, F.col("_until") + F.coalesce(F.sum(value).over(w), F.lit(0.0))).drop("_range", "_r", "_until", *[f"_by_{c}" for c in by])
 
 
 def budget(df: DataFrame, order: list[str], value: str, target: float, by: list[str] | None = None) -> DataFrame:
@@ -105,8 +105,8 @@ def speaker_split(df: DataFrame, seed: int, speaker: str = "speaker_id", officia
     name = lambda rank, n: F.when(rank < F.ceil(n * 0.9), "train").when(rank < F.ceil(n * 0.95), "val").otherwise("test")
     if speaker in df.columns and df.select(speaker).distinct().limit(least_speakers).count() >= least_speakers:
         people = df.select(speaker).where(F.col(speaker).isNotNull()).distinct()
-        ranked = people.withColumn("_k", stable_key(seed, F.col(speaker))).withColumn("_r", F.row_number().over(Window.orderBy("_k")) - 1)
-        ranked = ranked.withColumn("new_split", name(F.col("_r"), F.count("*").over(Window.partitionBy())))
+        keyed = people.withColumns({"_k": stable_key(seed, F.col(speaker)), "_one": F.lit(1.0)})
+        ranked = running(keyed, ["_k"], "_one", "_r").withColumn("new_split", name(F.col("_r"), F.lit(people.count())))
         return df.join(ranked.select(speaker, "new_split"), speaker).withColumn("strategy", F.lit("speaker_independent"))
     n = df.count()
     edges = df.agg(F.percentile(duration, F.array(*[F.lit(i / min(10, max(2, n // 100))) for i in range(1, min(10, max(2, n // 100)))])).alias("_e"))
@@ -148,3 +148,21 @@ def bucketed_order(df: DataFrame, seed: int, ident: str, length: str, size: int)
 def by_modulo(df: DataFrame, order: str, shards: int) -> DataFrame:
     """Adds shard = (rank of the row, from 0) mod shards, for a dense integer order column."""
     return df.withColumn("shard", F.pmod(F.col(order), F.lit(shards)))
+
+
+def mini_splits(df: DataFrame, hours: dict[str, float], seed: int, ident: str = "audio_path", duration: str = "duration", speaker: str = "speaker_id", split: str = "split") -> DataFrame:
+    """For each split the rows that fill its hours, rarest speakers first; the splits' seeds follow each other."""
+    parts = [hours_budget(df.where(F.col(split) == name), h, seed + i, ident, duration, speaker) for i, (name, h) in enumerate(hours.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def seeded_subsets(df: DataFrame, jobs: dict[str, dict[str, float]], shares: dict[str, float], seed: int, ident: str, **columns: str) -> DataFrame:
+    """For each job (name to the hours of its splits) a stratified sample of every split, with columns job and split:
+    sources by their shares of the hours, seeds 100 apart for jobs and 1 for splits."""
+    out = []
+    for j, (job, hours) in enumerate(jobs.items()):
+        for i, (split, h) in enumerate(hours.items()):
+            goals = {source: share * h * 3600 for source, share in shares.items()}
+            part = stratified(df.where(F.col("split") == split), goals, seed + 100 * j + i, ident, **columns)
+            out.append(part.withColumn("job", F.lit(job)))
+    return reduce(DataFrame.unionByName, out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +43,23 @@ def islands(df: DataFrame, group: str, order: str, good: Column, least: int) ->
 def recordings(df: DataFrame, group: str, order: str, duration: str, ident: str, most: float) -> DataFrame:
     """(group, recording, clips, seconds): clips in order are put together until a recording reaches `most` seconds; a last, shorter one stays.
 
-    Within a group the state (open recording, its seconds) runs through one sorted array of (order, id, seconds)."""
-    clips = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(ident).alias("id"), F.col(duration).cast("double").alias("d")))).alias("clips"))
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("at"))
-
-    def step(acc: Column, clip: Column) -> Column:
-        full = acc["s"] + clip["d"] >= most
-        return F.struct(F.when(full, acc["n"] + 1).otherwise(acc["n"]).alias("n"), F.when(full, 0.0).otherwise(acc["s"] + clip["d"]).alias("s"), F.array_append(acc["at"], acc["n"]).alias("at"))
-
-    at = F.aggregate("clips", zero, step, lambda acc: acc["at"])
-    each = clips.select(group, F.explode(F.arrays_zip(at.alias("at"), F.col("clips"))).alias("x"))
-    return each.groupBy(group, F.col("x.at").alias("recording")).agg(F.count("*").alias("clips"), F.sum("x.clips.d").alias("seconds"))
+    The open recording and its seconds depend on all clips before, so each group runs in order through one task, batch
+    by batch; no group is held whole."""
+
+    def numbered(batches):
+        now, number, seconds = None, 0, 0.0
+        for batch in batches:
+            out = np.zeros(len(batch), np.int32)
+            first = (batch[group].astype("string") != batch[group].astype("string").shift()).fillna(True).to_numpy(bool)
+            for i, (key, d) in enumerate(zip(batch[group], batch[duration].astype(float), strict=True)):
+                if first[i] and (now is None or key != now[0]):
+                    now, number, seconds = (key,), 0, 0.0
+                out[i] = number
+                seconds += d
+                if seconds >= most:
+                    number, seconds = number + 1, 0.0
+            yield batch.assign(recording=out)[[group, "recording", duration]]
+
+    kind = f"{group} {df.schema[group].dataType.simpleString()}, recording int, {duration} double"
+    rows = df.select(group, order, ident, F.col(duration).cast("double").alias(duration)).repartition(group).sortWithinPartitions(group, order, ident)
+    return rows.mapInPandas(numbered, kind).groupBy(group, "recording").agg(F.count("*").alias("clips"), F.sum(duration).alias("seconds"))

@@ -1,6 +1,6 @@
 """Queries over the Parquet tables: importing the modules fills the registry."""
 
-from . import corpus, matching, runs, selection
+from . import base, corpus, matching, reports, runs, selection
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "matching", "runs", "selection"]
+__all__ = ["ORACLES", "QUERIES", "base", "corpus", "matching", "reports", "runs", "selection"]

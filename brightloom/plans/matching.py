@@ -106,10 +106,6 @@ def prefilter_decision(t: Tables) -> DataFrame:
     return scoring.prefilter(rows).select("doc_id", "heuristic_quality_score", "rejection_reasons", "prefilter_decision")
 
 
-def _ascii(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.regexp_replace(F.lower("text"), "[^ -~]", "").alias("a"))
-
-
 @query()
 def fuzzy_pairs(t: Tables) -> DataFrame:
     """Pairs of different documents whose normalized texts share 12 characters at the start and are nearly equal."""
@@ -142,40 +138,44 @@ def component_winner(t: Tables) -> DataFrame:
     return out.select("doc_id", "component", "kept", F.col("_best.doc_id").alias("kept_id"))
 
 
-PAIRS = """p AS (SELECT a.conv_id, a.turn, regexp_replace(lower(a.text), '[^ -~]', '', 'g') AS ref, regexp_replace(lower(b.text), '[^ -~]', '', 'g') AS hyp
+PAIRS = f"""p AS (SELECT a.conv_id, a.turn, {S.normalized("a.text", False)} AS ref, {S.normalized("b.text", False)} AS hyp
  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+# DuckDB's levenshtein counts bytes: every other letter becomes a capital one, which the normalized forms do not have.
+CODED = f"""{PAIRS}, l AS (SELECT coalesce(string_agg(c, '' ORDER BY c), '') AS other FROM (SELECT DISTINCT unnest(string_split(ref || hyp, '')) AS c FROM p) WHERE NOT regexp_matches(c, '^[ -~]*$')),
+ q AS (SELECT conv_id, turn, length(ref) AS n, levenshtein(translate(ref, other, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), translate(hyp, other, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')) AS e FROM p, l)"""
+# Words of one side match nothing on the other, so only shared ones need a character of their own; chr(1) and chr(2) stand for the rest.
+WORDED = f"""{PAIRS}, w AS (SELECT conv_id, turn, {S.words("ref")} AS x, {S.words("hyp")} AS y FROM p), k AS (SELECT *, list_distinct(list_intersect(x, y)) AS known FROM w),
+ v AS (SELECT conv_id, turn, len(x) AS n, CAST(levenshtein(array_to_string(list_transform(x, lambda a: CASE WHEN list_contains(known, a) THEN chr(2 + list_position(known, a)) ELSE chr(1) END), ''),
+  array_to_string(list_transform(y, lambda a: CASE WHEN list_contains(known, a) THEN chr(2 + list_position(known, a)) ELSE chr(2) END), '')) AS BIGINT) AS e FROM k)"""
 
 
 def pairs(t: Tables) -> DataFrame:
-    """Each turn of a conversation with the next one, as reference and hypothesis (ASCII only)."""
-    plain = lambda c: F.regexp_replace(F.lower(c), "[^ -~]", "")
-    c = t.conversations
-    a, b = c.select("conv_id", "turn", plain("text").alias("ref")), c.select("conv_id", (F.col("turn") - 1).alias("turn"), plain("text").alias("hyp"))
-    return a.join(b, ["conv_id", "turn"])
+    """Each turn of a conversation with the next one, as reference and hypothesis, in the form in which transcripts are compared."""
+    c = t.conversations.select("conv_id", "turn", similarity.agreement(F.col("text")).alias("ref"))
+    return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ref").alias("hyp")), ["conv_id", "turn"])
 
 
-@query(f"WITH {PAIRS} SELECT conv_id, turn, CAST(levenshtein(ref, hyp) AS BIGINT) AS edits, round(levenshtein(ref, hyp) / nullif(length(ref), 0), 6) AS cer FROM p")
+@query(f"WITH {CODED} SELECT conv_id, turn, CAST(e AS BIGINT) AS edits, round(e / nullif(n, 0), 6) AS cer FROM q")
 def cer_pairs(t: Tables) -> DataFrame:
     r, h = F.col("ref"), F.col("hyp")
     return pairs(t).select("conv_id", "turn", similarity.char_edits(r, h).cast("long").alias("edits"), rounded(similarity.cer(r, h)).alias("cer"))
 
 
-@query(f"WITH {PAIRS} SELECT sum(levenshtein(ref, hyp)) AS edits, sum(length(ref)) AS chars, round(sum(levenshtein(ref, hyp)) / sum(length(ref)), 6) AS cer FROM p")
+@query(f"WITH {CODED} SELECT sum(e) AS edits, sum(n) AS chars, round(sum(e) / sum(n), 6) AS cer FROM q")
 def cer_corpus(t: Tables) -> DataFrame:
     e, n = F.sum(similarity.char_edits(F.col("ref"), F.col("hyp"))), F.sum(F.length("ref"))
     return pairs(t).agg(e.alias("edits"), n.alias("chars"), rounded(e / n).alias("cer"))
 
 
-@query()
+@query(f"WITH {WORDED} SELECT conv_id, turn, e AS word_edits, round(e / nullif(n, 0), 6) AS wer FROM v")
 def wer_pairs(t: Tables) -> DataFrame:
-    """Word error rate of each pair; DuckDB's levenshtein counts bytes, so tests hold it against a plain dynamic program."""
     r, h = F.col("ref"), F.col("hyp")
-    return pairs(t).select("conv_id", "turn", similarity.word_edits(r, h).alias("word_edits"), rounded(similarity.wer(r, h)).alias("wer"))
+    return pairs(t).select("conv_id", "turn", similarity.word_edits(r, h).cast("long").alias("word_edits"), rounded(similarity.wer(r, h)).alias("wer"))
 
 
-@query()
+@query(f"WITH {WORDED} SELECT sum(e) AS word_edits, sum(n) AS words, round(sum(e) / sum(n), 6) AS wer FROM v")
 def wer_corpus(t: Tables) -> DataFrame:
-    e, n = F.sum(similarity.word_edits(F.col("ref"), F.col("hyp"))), F.sum(F.size(text.words(F.col("ref"))))
+    e, n = F.sum(similarity.word_edits(F.col("ref"), F.col("hyp")).cast("long")), F.sum(F.size(text.words(F.col("ref"))))
     return pairs(t).agg(e.alias("word_edits"), n.alias("words"), rounded(e / n).alias("wer"))
 
 
@@ -186,17 +186,29 @@ def similarity_ratio(t: Tables) -> DataFrame:
     return out.select("conv_id", "turn", rounded("ratcliff").alias("ratcliff"), rounded("indel").alias("indel"))
 
 
+def measured(t: Tables) -> DataFrame:
+    """Pairs with their three measures; a reference without words counts as wholly wrong."""
+    r, h = F.col("ref"), F.col("hyp")
+    rates = {"wer": F.coalesce(similarity.wer(r, h), F.lit(10.0)), "cer": F.coalesce(similarity.cer(r, h), F.lit(10.0))}
+    return pairs(t).withColumns({"sim": similarity.ratcliff("ref", "hyp"), **rates, "base": F.lit(95.0)})
+
+
 AGREE = [("low_teacher_similarity", "sim < 0.85", 30), ("high_teacher_wer", "wer > 0.35", 20), ("high_teacher_cer", "cer > 0.15", 20)]
+AGREED = ("conv_id", "turn", "teacher_quality_score", "teacher_rejection_reasons", "teacher_decision")
 
 
-@query(f"""WITH {PAIRS}, m AS (SELECT *, 1 - cer AS sim, cer AS wer, 95.0 AS base FROM (SELECT conv_id, turn, coalesce(levenshtein(ref, hyp) / nullif(length(ref), 0), 10) AS cer FROM p)),
- x AS (SELECT *, {S.reasons(AGREE)} AS why, {S.score(AGREE, "base")} AS sc FROM m)
-SELECT conv_id, turn, sc AS teacher_quality_score, array_to_string(why, '|') AS teacher_rejection_reasons, CASE WHEN len(why) = 0 AND sc >= 80 THEN 'keep' ELSE 'reject' END AS teacher_decision FROM x""")
+@query()
 def teacher_agreement(t: Tables) -> DataFrame:
-    """The agreement gate over measured pairs; the character rate stands in for all three measures."""
-    rows = pairs(t).withColumn("cer", F.coalesce(similarity.cer(F.col("ref"), F.col("hyp")), F.lit(10.0)))
-    rows = rows.withColumns({"sim": 1 - F.col("cer"), "wer": F.col("cer"), "base": F.lit(95.0)})
-    return scoring.teacher_agreement(rows, "sim", "wer", "cer", "base").select("conv_id", "turn", "teacher_quality_score", "teacher_rejection_reasons", "teacher_decision")
+    """The agreement gate over similarity, word and character error rate of each pair; tests hold it against plain Python."""
+    return scoring.teacher_agreement(measured(t), "sim", "wer", "cer", "base").select(*AGREED)
+
+
+@query(f"""WITH {CODED}, {WORDED[len(PAIRS) + 2 :]}, m AS (SELECT q.conv_id, q.turn, coalesce(q.e / nullif(q.n, 0), 10) AS cer, coalesce(v.e / nullif(v.n, 0), 10) AS wer, 95.0 AS base FROM q JOIN v USING (conv_id, turn)),
+ x AS (SELECT *, {S.reasons(AGREE)} AS why, {S.score(AGREE, "base")} AS sc FROM (SELECT *, 1 - cer AS sim FROM m))
+SELECT conv_id, turn, sc AS teacher_quality_score, array_to_string(why, '|') AS teacher_rejection_reasons, CASE WHEN len(why) = 0 AND sc >= 80 THEN 'keep' ELSE 'reject' END AS teacher_decision FROM x""")
+def teacher_gate(t: Tables) -> DataFrame:
+    """The same gate where the similarity is what the character error rate leaves, which SQL can express."""
+    return scoring.teacher_agreement(measured(t).withColumn("sim", 1 - F.col("cer")), "sim", "wer", "cer", "base").select(*AGREED)
 
 
 @query(f"SELECT doc_id, sha1({S.normalized('text')}) AS normalized_sha1 FROM documents")

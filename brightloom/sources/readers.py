@@ -42,6 +42,16 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.json(path) if kind == "jsonl" else reader.parquet(path)
 
 
+def named(spark: SparkSession, dataset: str, folder: str) -> str:
+    """The path itself if there is one, else the CSV of that name in the folder; raises if there is neither."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in (dataset, f"{folder.rstrip('/')}/{dataset}.csv"):
+        at = hadoop(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return path
+    raise FileNotFoundError(f"no dataset {dataset}, neither by path nor in {folder}")
+
+
 def shards(spark: SparkSession, root: str, split: str) -> DataFrame:
     """data/{split}-*.parquet under the root; Spark raises if there are none."""
     return spark.read.parquet(f"{root.rstrip('/')}/data/{split}-*.parquet")

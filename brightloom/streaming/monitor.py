@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,14 +44,10 @@ def _stateful(df: DataFrame, key: str, order: str, fold: Callable, start: tuple,
     schema, names = T.StructType([*df.schema.fields, *extra_fields]), [f.name for f in extra_fields]
 
     def step(_key: tuple, frames: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        now = kept.get if kept.exists else start
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-        out = []
-        for row in rows.to_dict("records"):
-            now, extra = fold(now, row)
-            out.append(extra)
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable", ignore_index=True)
+        now, extra = fold(kept.get if kept.exists else start, rows)
         kept.update(now)
-        yield pd.concat([rows.reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+        yield rows.assign(**dict(zip(names, extra, strict=True)))
 
     return df.groupBy(key).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.NoTimeout)
 
@@ -58,9 +55,10 @@ def _stateful(df: DataFrame, key: str, order: str, fold: Callable, start: tuple,
 def best_so_far(df: DataFrame, key: str, order: str, metric: str) -> DataFrame:
     """Adds is_best: strictly under every value that the key had before."""
 
-    def fold(now: tuple, row: dict) -> tuple:
-        best = row[metric] < now[0]
-        return (row[metric] if best else now[0],), (best,)
+    def fold(now: tuple, rows: pd.DataFrame) -> tuple:
+        x = rows[metric].to_numpy(float)
+        least = np.fmin.accumulate(np.concatenate([[now[0]], x]))
+        return (float(least[-1]),), (x < least[:-1],)
 
     return _stateful(df, key, order, fold, (float("inf"),), "best double", "is_best boolean")
 
@@ -68,9 +66,11 @@ def best_so_far(df: DataFrame, key: str, order: str, metric: str) -> DataFrame:
 def patience(df: DataFrame, key: str, order: str, value: str, limit: float, least: int) -> DataFrame:
     """Adds in_a_row, the values over the limit in a row, and stop once they are `least`."""
 
-    def fold(now: tuple, row: dict) -> tuple:
-        n = now[0] + 1 if row[value] > limit else 0
-        return (n,), (n, n >= least)
+    def fold(now: tuple, rows: pd.DataFrame) -> tuple:
+        at = np.arange(len(rows))
+        good = np.maximum.accumulate(np.where(rows[value].to_numpy(float) > limit, -1, at))
+        n = np.where(good < 0, at + 1 + now[0], at - good)
+        return (int(n[-1]),), (n, n >= least)
 
     return _stateful(df, key, order, fold, (0,), "n long", "in_a_row long, stop boolean")
 
@@ -78,10 +78,9 @@ def patience(df: DataFrame, key: str, order: str, value: str, limit: float, leas
 def worsening(df: DataFrame, key: str, order: str, metric: str) -> DataFrame:
     """Adds worsening: two steps in a row, each worse than the one before."""
 
-    def fold(now: tuple, row: dict) -> tuple:
-        older, old = now
-        x = float(row[metric])
-        return (old, x), (bool(x > old > older),)
+    def fold(now: tuple, rows: pd.DataFrame) -> tuple:
+        x = np.concatenate([now, rows[metric].to_numpy(float)])
+        return (float(x[-2]), float(x[-1])), ((x[2:] > x[1:-1]) & (x[1:-1] > x[:-2]),)
 
     return _stateful(df, key, order, fold, (float("inf"), float("inf")), "older double, old double", "worsening boolean")
 

@@ -24,6 +24,14 @@ def test_detect():
         readers.override("novalue")
 
 
+def test_named_datasets(spark, tmp_path):
+    (tmp_path / "set.csv").write_text("a\n1\n")
+    assert readers.named(spark, "set", str(tmp_path)) == f"{tmp_path}/set.csv"
+    assert readers.named(spark, f"{tmp_path}/set.csv", "/nowhere") == f"{tmp_path}/set.csv"
+    with pytest.raises(FileNotFoundError):
+        readers.named(spark, "other", str(tmp_path))
+
+
 def test_manifests_of_several_formats(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "a.csv").write_text('path,sentence,client_id\nx.wav,"hello, you",s1\n')

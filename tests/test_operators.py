@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from brightloom.operators import audit, cleaning, dedup, experiments, longform, overlap, sampling, scoring
+from brightloom.operators import audit, cleaning, dedup, experiments, longform, overlap, reports, sampling, scoring, storage
 
 
 def manifest(spark, n=300, seed=1):
@@ -197,3 +197,96 @@ def test_details_must_be_complete(spark):
     with pytest.raises(ValueError, match="no details"):
         overlap.details(master, rows, "k", "i")
     assert overlap.details(master.where("k = 'a'"), rows, "k", "i").first()["v"] == "new"
+
+
+def test_prefix_sums_of_large_groups(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, None if i % 7 == 0 else f"g{i % 3 if i % 2 else 0}", r.randint(0, 50), float(r.randint(1, 9))) for i in range(900)]
+    df = spark.createDataFrame(rows, "i int, g string, k int, v double").repartition(5)
+    got = {x["i"]: x["before"] for x in sampling.running(df, ["k", "i"], "v", "before", ["g"], ranges=9).collect()}
+    sums = collections.Counter()
+    for i, g, _, v in sorted(rows, key=lambda x: (x[2], x[0])):
+        assert got[i] == sums[g]
+        sums[g] += v
+
+
+def test_members_are_bounded_lists(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 3 > 0, "a").when(F.col("id") % 9 == 0, "").otherwise(F.concat(F.lit("b"), F.col("id") % 100)).alias("k"), F.col("id"))
+    got = {r["k"]: (r["rows"], r["members"].split("|")) for r in dedup.group_members(df, ["k"], "id", 5).collect()}
+    assert got["a"] == (333, ["1", "2", "4", "5", "7"]) and "" not in got and all(n > 1 and len(m) == min(n, 5) for n, m in got.values())
+
+
+def test_tables_need_a_shared_folder_on_a_cluster(monkeypatch):
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+        sparkContext = type("Context", (), {"master": "yarn", "getCheckpointDir": staticmethod(lambda: None)})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.cut(type("Frame", (), {"sparkSession": Session()})())
+
+
+def test_configurations_and_schedules(spark):
+    config = {"tuning_mode": "blockwise_encoder_lr", "encoder_block_d_lr": 2e-6, "learning_rate": 1e-5}
+    assert reports.startup_rates(config) == {"encoder_0_7": 0.0, "encoder_8_15": 0.0, "encoder_16_23": 0.0, "encoder_24_31": 2e-6, "decoder": 1e-5}
+    assert set(reports.startup_rates({"encoder_learning_rate": 3e-6, "learning_rate": 1e-5, "decoder_learning_rate": 2e-5}).values()) == {3e-6, 2e-5}
+    assert reports.overrides("x", [0.0, 0.0, 0.0, 1e-6], 8e-6, 300) == {"experiment_name": "x", "encoder_block_a_lr": 0.0, "encoder_block_b_lr": 0.0, "encoder_block_c_lr": 0.0, "encoder_block_d_lr": 1e-6, "decoder_learning_rate": 8e-6, "learning_rate": 8e-6, "max_steps": 300}
+    names = spark.createDataFrame([("model.encoder.layers.31.fc1.weight",), ("model.encoder.layers.8.x",), ("model.encoder.conv1.bias",), ("model.decoder.layers.3.x",)], "n string")
+    assert [r[0] for r in names.select(reports.parameter_group(F.col("n"), True)).collect()] == ["encoder_24_31", "encoder_8_15", "encoder_other", "other"]
+    assert [r[0] for r in names.select(reports.parameter_group(F.col("n"), False)).collect()] == ["encoder"] * 3 + ["other"]
+    with pytest.raises(Exception, match="no block for"):
+        spark.createDataFrame([("model.encoder.layers.32.x",)], "n string").select(reports.parameter_group(F.col("n"), True)).collect()
+
+
+def test_ranked_runs_and_their_reports(spark):
+    rows = [("a", None, None, True, 3600.0), ("b", 0.2, 0.1, False, 1800.0), ("c", 0.2, 0.1, True, None), ("d", 0.1, None, True, 60.0)]
+    df = spark.createDataFrame(rows, "run string, wer double, cer double, stable boolean, runtime_seconds double")
+    ranked = {r["run"]: r["rank"] for r in reports.ranked_rows(df).collect()}
+    assert ranked == {"d": 1, "c": 2, "b": 3, "a": 4}
+    assert not set(reports.ranked_rows(df).columns) & {"_unstable", "_one", "_h"}
+    best = reports.best_schedule(df.withColumns({"rate": F.lit(5e-6), "decoder": F.lit(8e-6)}), "run", "wer", "cer", "rate", "decoder").first()
+    assert best["run"] == "d" and best["blockwise_schedule"].asDict() == {"encoder_0_7": 0.0, "encoder_8_15": 0.0, "encoder_16_23": 0.0, "encoder_24_31": 5e-6, "decoder": 8e-6}
+    with pytest.raises(ValueError, match="no completed run"):
+        reports.best_schedule(df.where("wer IS NULL"), "run", "wer", "cer", "run", "run")
+    references = spark.createDataFrame([("Winner", "d", "proxy"), ("Gone", "zz", "proxy"), ("Baseline", "b", "test")], "name string, run string, dataset string")
+    metrics = df.withColumns({"test_wer": F.when(F.col("run") == "b", 0.05), "test_cer": F.lit(None).cast("double")})
+    compared = reports.comparison(references, metrics, "run")
+    assert {r["name"]: (r["wer"], r["cer"]) for r in compared.collect()} == {"Winner": ("0.1", None), "Gone": ("unavailable", "unavailable"), "Baseline": ("0.05", "0.1")}
+    text = reports.recommendation("Pick", {"run": "d", "wer": 0.1, "blockwise_schedule": best["blockwise_schedule"].asDict()}, compared)
+    assert "- encoder_24_31 = `5e-06`" in text and "- wer: `0.1`" in text and "| Gone | proxy | unavailable |" in text
+
+
+def test_status_reports(spark):
+    df = spark.createDataFrame([(i, "salom dunyo " * (1 + 9 * (i == 1)), "salom dunyo") for i in range(5)], "i int, p string, r string")
+    from brightloom.functions import text
+
+    samples = reports.sample_predictions(df, "i", "p", "r", text.prediction_signs(F.col("p"), F.col("r")), 2)
+    assert [x["index"] for x in samples] == [0, 1] and samples[1]["indicators"]["hallucination"] is True and samples[0]["indicators"]["hallucination"] is False
+    payload, page = reports.status(500, "eval", {"eval_wer": 0.2}, samples, "worse twice")
+    assert payload["step"] == 500 and payload["stop_reason"] == "worse twice" and "- eval_wer: `0.2`" in page and page.count("### Sample") == 2
+
+
+def test_logs_hashes_and_documents(spark):
+    logs = spark.createDataFrame([(1, "CUDA OOM ... safety_warning SAFETY_WARNING"), (2, None), (3, "Non-finite loss, safety_stop")], "i int, log string")
+    got = {r["i"]: (r["stability_failures"], r["safety_warning_count"]) for r in reports.log_signs(logs, "log").collect()}
+    assert got == {1: (["cuda oom"], 2), 2: ([], 0), 3: (["safety_stop", "non-finite loss"], 0)}
+    actual, pinned = spark.createDataFrame([("a", "1"), ("b", "2")], "p string, sha256 string"), spark.createDataFrame([("a", "1"), ("b", "3"), ("c", "4")], "p string, sha256 string")
+    assert sorted(tuple(r) for r in reports.hash_violations(actual, pinned, "p").collect()) == [("b", "3", "2"), ("c", "4", None)]
+    files = spark.createDataFrame([("README.md", 900, "see A.md and the phrase"), ("A.md", 900, "x"), ("B.md", 10, "y"), ("old.md", 900, "z")], "name string, length long, text string")
+    found = reports.document_problems(files, ["README.md", "A.md", "B.md", "C.md"], allowed=["README.md", "A.md", "B.md", "C.md"], index="README.md", phrases=["the phrase", "another"], protected=["model.bin", "A.md"])
+    assert {tuple(r) for r in found.collect()} == {("missing", "C.md"), ("too_short", "B.md"), ("unexpected", "old.md"), ("not_in_index", "B.md"), ("not_in_index", "C.md"), ("phrase_missing", "another"), ("protected_missing", "model.bin")}
+
+
+def test_seeded_subsets_are_the_single_samples(spark):
+    rows, df = manifest(spark, 600)
+    df = df.withColumn("split", F.when(F.col("doc_id") % 4 == 0, "val").otherwise("train"))
+    jobs, shares = {"x": {"train": 0.1, "val": 0.02}, "y": {"train": 0.2, "val": 0.02}}, {"a": 0.6, "b": 0.4}
+    got = collections.defaultdict(set)
+    for r in sampling.seeded_subsets(df, jobs, shares, 1729, "audio_path").collect():
+        got[r["job"], r["split"]].add(r["doc_id"])
+    for job, split, hours, seed in (("x", "train", 0.1, 1729), ("y", "val", 0.02, 1830)):
+        one = sampling.stratified(df.where(F.col("split") == split), {k: v * hours * 3600 for k, v in shares.items()}, seed, "audio_path")
+        assert got[job, split] == {r["doc_id"] for r in one.collect()}
+    report = {r["dataset_id"]: r for r in reports.subset_report(df.where("dataset_id = 'a'"), shares).collect()}
+    assert report["a"]["share"] == pytest.approx(1.0) and (report["b"]["samples"], report["b"]["hours"], report["b"]["target_share"]) == (0, 0.0, 0.4)

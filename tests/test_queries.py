@@ -1,5 +1,6 @@
 """Every query with an oracle gives DuckDB's rows on the small tables."""
 
+import difflib
 import math
 
 import duckdb
@@ -46,6 +47,30 @@ def test_others_run(spark, name):
     assert plans.QUERIES[name](spark, SF).columns
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_pair_measures_against_plain_python(spark):
+    tables = plans.base.Tables(spark, SF)
+    rows = plans.matching.measured(tables).collect()
+    assert len(rows) > 20 and any(not r["ref"].isascii() for r in rows)
+    says = {(r["conv_id"], r["turn"]): r for r in plans.QUERIES["teacher_agreement"](spark, SF).collect()}
+    for r in rows[:25]:
+        a, b = r["ref"].split(), r["hyp"].split()
+        wer, cer = edits(a, b) / len(a), edits(r["ref"], r["hyp"]) / len(r["ref"])
+        sim = difflib.SequenceMatcher(None, r["ref"], r["hyp"]).ratio()
+        assert (r["wer"], r["cer"], r["sim"]) == (pytest.approx(wer), pytest.approx(cer), pytest.approx(sim))
+        why = [n for n, bad in (("low_teacher_similarity", sim < 0.85), ("high_teacher_wer", wer > 0.35), ("high_teacher_cer", cer > 0.15)) if bad]
+        got = says[r["conv_id"], r["turn"]]
+        assert got["teacher_rejection_reasons"] == "|".join(why) and (got["teacher_decision"] == "keep") == (not why)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(plans.ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())

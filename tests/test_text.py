@@ -1,4 +1,6 @@
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,10 +26,20 @@ def one(spark, column, **values):
         (None, ""),
         ("", ""),
         ("3.5…", "3. 5. .."),
+        ("ﬁx ＡＢＣ", "fix abc"),
+        ("Ⅳ ①x² ｱ", "iv 1x2 ア"),
+        ("e\u0301lan и\u0306", "élan y"),
     ],
 )
 def test_normalizer(spark, raw, want):
-    assert one(spark, text.normalize(F.col("t").cast("string"), compose=raw != "3.5…"), t=raw) == want
+    assert one(spark, text.normalize(F.col("t").cast("string")), t=raw) == want
+
+
+def test_stable_characters_are_not_changed_by_composition():
+    runs = re.findall(r"\\x\{(\w+)\}-\\x\{(\w+)\}", text.UNSTABLE)
+    whole = "".join(chr(c) for a, b in runs for c in range(int(a, 16), int(b, 16) + 1))
+    assert len(whole) > 1000
+    assert unicodedata.normalize("NFKC", whole) == whole and unicodedata.normalize("NFC", whole) == whole
 
 
 def test_composition_is_only_for_other_text(spark):
