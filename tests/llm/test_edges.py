@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from brightloom.llm import decontaminate, jaccard, mix, paragraphs, quality, shard, store, suffixes, suffixtree, toxicity, urlrank
 
 from .conftest import prose
@@ -80,6 +81,21 @@ def test_training_rows_are_bounded_where_ids_repeat(spark):
     assert shares == {0.5}
 
 
+@pytest.mark.parametrize("rows", ["nasty", "empty"])
+def test_the_pipeline_on_nasty_and_empty_tables(rows, request, spark, labels, benchmark, tmp_path):
+    docs = request.getfixturevalue(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    store.cleanup(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    kept = out.collect()
+    assert out.columns[:4] == docs.columns[:4] and out.columns[-3:] == ["size", "shard", "slot"]
+    assert (len(kept) > 0) == (rows == "nasty") and all(r["text"] and r["text"].strip() for r in kept)
+    assert len(store.tables) == 1 and store.tables[0].endswith("/shards")
+    store.cleanup(spark)
+
+
 def test_quality_of_blank_texts(nasty, labels):
     rows = quality.score(nasty, None).where("trim(coalesce(text, '')) = ''").collect()
     assert rows and all(r["base_failed"] and not r["kept"] and r["n_words"] == 0 for r in rows)

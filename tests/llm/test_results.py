@@ -225,6 +225,31 @@ def test_prefixes_are_shortened_to_the_recall():
         assert 1 - (1 - 0.8**k) ** jaccard.TREES >= target and (k == jaccard.LONGEST or 1 - (1 - 0.8 ** (k + 1)) ** jaccard.TREES < target)
 
 
+def test_prefixes_are_shortened_class_by_class():
+    lengths = jaccard.descent(0.8, 0.997)
+    assert lengths[3] == (jaccard.LONGEST,) and lengths[50] == lengths[0] == (jaccard.prefix_length(),) and lengths[6] != lengths[50]
+    for m in range(1, 30):
+        for n in range(1, 60):
+            real = [b / (m + n - b) for b in range(1, min(m, n) + 1) if b / (m + n - b) >= 0.8 - 1e-9]
+            assert jaccard.least_similarity(m, n, 0.8) == (pytest.approx(min(real)) if real else None)
+            if real:  # the longest prefix at which both are, found with the target probability at their least similarity
+                both = set(lengths[m]) & set(lengths[n] if n < len(lengths) else lengths[0])
+                assert both and 1 - (1 - min(real) ** min(both)) ** jaccard.TREES >= 0.997
+
+
+def test_a_chain_of_classes_is_one_group(spark):
+    """Texts that slide along one long text: each links to its neighbours only, all are one group."""
+    words = [f"w{i}" for i in range(1030)]
+    texts = {i: " ".join(words[i : i + 30]) for i in range(1000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = by_id(jaccard.joined(df))
+    want = collections.Counter(x for e in linked(texts) for x in e)
+    wrong = [d for d in texts if got[d]["n_links"] != want[d]]
+    assert len(wrong) <= 0.02 * len(texts) and {r["group_id"] for r in got.values()} == {0}
+    met, packs = jaccard.colliding(jaccard.signed(df))
+    assert met.select(F.max(F.size("buckets"))).first()[0] <= 2 * jaccard.TREES and packs < 50
+
+
 def edited(text, share, seed):
     r = random.Random(seed)
     out = list(text)
@@ -329,37 +354,83 @@ def test_toxicity(spark):
     assert held.agg(F.corr("severity", "toxic")).first()[0] > 0.6
 
 
+def tree_scores(words, held, hot=1 << 60):
+    """Base and tree score of each text by dictionaries; and the retained contexts."""
+    count = collections.Counter(w for d in words if d not in held for w in words[d])
+    n, v = sum(count.values()), len(count)
+    after = collections.defaultdict(collections.Counter)
+    for d in words:
+        if d not in held:
+            for k in range(1, suffixtree.DEPTH + 1):
+                for i in range(k, len(words[d])):
+                    after[tuple(words[d][i - k : i])][words[d][i]] += 1
+    kept = {}
+
+    def p(context, w):
+        if not context:
+            return (count[w] + 0.1) / (n + 0.1 * (v + 1))
+        q = p(context[1:], w)
+        if context not in kept:
+            return q
+        return (after[context][w] + kept[context] * q) / (sum(after[context].values()) + kept[context])
+
+    for context in sorted(after, key=len):
+        seen = after[context]
+        occurs, kinds, gain = sum(seen.values()), len(seen), 0.0
+        if occurs < 2:
+            continue
+        for w, m in seen.items():
+            q = math.exp(-min(np.rint(-math.log(p(context[1:], w)) * suffixtree.GRAIN), 255) / suffixtree.GRAIN)
+            others = kinds - (m == 1)
+            gain += m * math.log((m - 1 + others * q) / (occurs - 1 + others) / q)
+        if gain > suffixtree.GAIN or occurs >= hot:
+            kept[context] = kinds
+    base = {d: sum(math.log10(p((), w)) for w in ws) for d, ws in words.items()}
+    score = {d: sum(math.log10(p(tuple(ws[max(0, i - suffixtree.DEPTH) : i]), w)) for i, w in enumerate(ws)) for d, ws in words.items()}
+    return count, base, score, kept
+
+
+def folded_words(texts):
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return {d: [*WORD.findall(t.translate(low)), None] for d, t in texts.items()}
+
+
 def test_suffix_tree_base_and_score(spark, texts):
     got = by_id(run(spark, "op10_suffix_tree"))
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = {d: [*WORD.findall(t.translate(low)), None] for d, t in texts.items()}
+    words = folded_words(texts)
     held = {d for d in texts if zlib.crc32(str(d).encode()) % 10 == 0}
-    count = collections.Counter(w for d in texts if d not in held for w in words[d])
-    n, v = sum(count.values()), len(count)
+    count, base, score, kept = tree_scores(words, held)
     for d, ws in words.items():
-        base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
         r = got[d]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (d in held, len(ws), sum(count[w] > 0 for w in ws), n)
-        assert r["base_score"] == pytest.approx(base, rel=1e-9)
-    assert sum(got[d]["score"] for d in held) > sum(got[d]["base_score"] for d in held)
-
-
-def test_suffix_tree_distributions_sum_to_one():
-    texts = [(prose(i, 200).lower() + "\0").encode() for i in range(5)]
-    codes, _ = suffixtree.gram_codes(texts, [b"\0" * suffixtree.DEPTH] * 5)
-    gram, n = suffixtree.counted(codes)
-    tree = suffixtree.grown(gram, n, len(codes))
-    assert any(len(c) for c in tree.contexts[2:])
-    for context in (b"\0\0\0\0", b"ba d", b"zzzz", texts[0][40:44], texts[1][7:11]):
-        head = int.from_bytes(context, "big") << 8
-        p = tree.probability(np.arange(256, dtype=np.uint64) + np.uint64(head))
-        assert p.sum() == pytest.approx(1) and (p > 0).all()
-    direct = collections.Counter()
-    for t in texts:
-        line = b"\0" * suffixtree.DEPTH + t
-        direct.update(line[i - 2 : i + 1] for i in range(suffixtree.DEPTH, len(line)))
-    three = {int(g) & 0xFFFFFF: int(c) for g, c in zip(gram, n, strict=True) if int(g) >> 8 * (suffixtree.DEPTH + 1) == 3}
-    assert three == {int.from_bytes(k, "big"): c for k, c in direct.items()}
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (d in held, len(ws), sum(count[w] > 0 for w in ws), sum(count.values()))
+        assert r["base_score"] == pytest.approx(base[d], rel=1e-9)
+        assert r["score"] == pytest.approx(score[d], rel=1e-6)
+    assert {len(c) for c in kept} == set(range(1, suffixtree.DEPTH + 1))
+    moved = [abs(score[d] / base[d] - 1) for d in held]
+    assert sum(score[d] for d in held) > sum(base[d] for d in held) and np.mean(moved) > 0.05
+
+
+def test_suffix_tree_of_hot_contexts(spark, monkeypatch):
+    """Contexts of three occurrences count as hot: dealt over parts by their symbols, and retained without a test."""
+    monkeypatch.setattr(suffixtree, "HOT", 3)
+    r = random.Random(2)
+    texts = {i: " ".join(r.choice("abcde") + r.choice("xy") for _ in range(r.randint(0, 30))) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    words = folded_words(texts)
+    held = {d for d in texts if zlib.crc32(str(d).encode()) % 10 == 0}
+    score = tree_scores(words, held, hot=3)[2]
+    got = by_id(suffixtree.scored(df))
+    assert all(got[d]["score"] == pytest.approx(score[d], rel=1e-9) for d in texts)
+
+
+def test_suffix_tree_tells_texts_that_occur_twice(spark):
+    texts = {i: prose(i, 150) for i in range(120)} | {500 + i: prose(i, 150) for i in range(10)}
+    got = by_id(suffixtree.scored(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
+    train = [r for r in got.values() if not r["held_out"]]
+    rate = {r["doc_id"]: r["score"] / r["n_tokens"] for r in train}
+    twice = [x for d, x in rate.items() if d < 10 and d + 500 in rate or d >= 500 and d - 500 in rate]
+    once = [x for d, x in rate.items() if 10 <= d < 500]
+    assert min(twice) > max(once)
 
 
 def test_suffix_tree_cuts_long_texts(spark, monkeypatch):
@@ -497,6 +568,47 @@ def test_paragraphs_find_embedded_passages_without_stops(spark):
     assert len({x["doc_id"] for x in found if x["removed_words"] > 0}) == 40
 
 
+def test_paragraph_spans_against_brute_force(spark, texts):
+    """Paragraphs cut as the operator does, all pairs of them compared, and spans put together one by one."""
+    rows = sorted(texts.items())
+    got = paragraphs.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    p = paragraphs.paragraphs([t.encode() for _, t in rows])
+    first = p.batch.ptr[p.text]
+    words = [WORD.findall(t) for _, t in rows]
+    unit = [" ".join(words[t][a - f : b - f]) for t, a, b, f in zip(p.text, p.start, p.end, first, strict=True)]
+    number = {u: i for i, u in enumerate(dict.fromkeys(unit))}
+    root = groups(number.values(), linked({i: u for u, i in number.items()}))
+    at = collections.defaultdict(set)
+    for u, t in zip(unit, p.text, strict=True):
+        at[root[number[u]]].add(int(t))
+    spans = []
+    for t in range(len(rows)):
+        found = sorted((int(a - f), int(b - f)) for u, x, a, b, f in zip(unit, p.text, p.start, p.end, first, strict=True) if x == t and len(at[root[number[u]]]) > 1)
+        run = []
+        for a, b in [*found, (10**9, 10**9)]:
+            if run and a > max(y for _, y in run) + paragraphs.GAP:
+                covered = len({w for x, y in run for w in range(x, y)})
+                if covered >= paragraphs.MIN_WORDS:
+                    spans.append((rows[t][0], run[0][0], max(y for _, y in run), covered))
+                run = []
+            run.append((a, b))
+    mine = {(r["doc_id"], r["from_word"], r["to_word"], r["repeated_words"]) for r in got}
+    assert len(spans) > 50 and len(mine ^ set(spans)) <= 0.02 * len(spans)
+
+
+def test_every_passage_of_50_words_holds_a_whole_window():
+    r = random.Random(4)
+    passage = [f"p{r.randrange(40)}" for _ in range(50)]
+    for k in range(200):
+        text = " ".join([*(f"a{r.random()}" for _ in range(r.randrange(60))), *passage, *(f"b{r.random()}" for _ in range(r.randrange(60)))])
+        b = tokens.read([text.encode()])
+        begin = text.split().index(passage[0])
+        starts = paragraphs.window_starts(b.hashes(), b.ptr)
+        inside = starts[(starts >= begin) & (starts + paragraphs.LENGTH <= begin + 50)] - begin
+        same = inside if k == 0 else np.intersect1d(same, inside)
+        assert len(same)
+
+
 def test_near_paragraphs(spark):
     base = prose(6, 100).replace("\n", " ").replace(".", "").split()
     near = list(base)
