@@ -146,17 +146,52 @@ def _shared(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> np
     return both
 
 
+def _common(sets: tuple[np.ndarray, np.ndarray], first: np.ndarray, second: np.ndarray, below: np.ndarray | None = None) -> np.ndarray:
+    """For pairs of sets (values, offsets) how many elements they share, all at once; of those under `below` where given."""
+    values, offsets = sets
+    rows = np.concatenate([first, second])
+    n = offsets[rows + 1] - offsets[rows]
+    pair = np.repeat(np.tile(np.arange(len(first)), 2), n)
+    x = values[np.repeat(offsets[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    if below is not None:
+        keep = x < below[pair]
+        x, pair = x[keep], pair[keep]
+    x = tokens.mix(x.astype(np.uint64)) + tokens.mix(pair.astype(np.uint64))  # equal for two sets' shared element of one pair
+    order = np.argsort(x)
+    same = x[order][1:] == x[order][:-1]
+    return np.bincount(pair[order][1:][same], minlength=len(first))
+
+
 def _verify(threshold: float):
     def verify(table: pa.Table) -> pa.Table:
         out = {"class": [], "links": [], "classes": [], "root": []}
         cols = {k: np.asarray(table[k]) for k in ("key", "class", "rows", "block", "low", "high")}
+        shingles = table["shingles"].cast(pa.large_binary()).combine_chunks()
+        at = np.frombuffer(shingles.buffers()[1], np.int64)[shingles.offset : shingles.offset + len(shingles) + 1]
+        bag = np.frombuffer(shingles.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(np.uint64), (at - at[0]) // 8
+        lists = table["keys"].combine_chunks()
+        known = np.asarray(lists.flatten(), np.int64), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))])
         texts, keys = table["shingles"], table["keys"]
         order = np.lexsort((cols["class"], cols["high"], cols["low"], cols["key"]))
         same = np.ones(len(order), bool)
         for k in ("key", "low", "high"):
             same[1:] &= cols[k][order][1:] == cols[k][order][:-1]
         starts = np.flatnonzero(~same | (np.arange(len(order)) == 0))
-        for lo, hi in zip(starts, [*starts[1:], len(order)], strict=True):
+        ends = np.append(starts[1:], len(order))
+        # Most groups are two classes: these are verified all at once.
+        two = (ends - starts == 2) & (cols["low"][order[starts]] == cols["high"][order[starts]])
+        a, b = order[starts[two]], order[ends[two] - 1]
+        two[two] = cols["class"][a] != cols["class"][b]
+        a, b = order[starts[two]], order[ends[two] - 1]
+        if len(a):
+            both, sizes = _common(bag, a, b), np.diff(bag[1])
+            good = (both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9) & (_common(known, a, b, cols["key"][a]) == 0)
+            a, b = a[good], b[good]
+            out["class"] += [cols["class"][a], cols["class"][b]]
+            out["links"] += [cols["rows"][b], cols["rows"][a]]
+            out["classes"] += [np.ones(2 * len(a), np.int64)]
+            out["root"] += [np.tile(np.minimum(cols["class"][a], cols["class"][b]), 2)]
+        for lo, hi in zip(starts[~two], ends[~two], strict=True):
             rows = order[lo:hi]
             cls, at = np.unique(cols["class"][rows], return_index=True)  # a repeated row of one class counts once
             rows = rows[at]
@@ -218,10 +253,12 @@ def verified(rows: DataFrame, packs: int, threshold: float = THRESHOLD) -> DataF
 def links(docs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`verified` for the colliding classes, whose texts are read from their representatives."""
     met, packs = colliding(classes)
-    members = store.small(store.cut(met.join(classes.select("class", "rep", "rows", "keys"), "class")))
+    members = store.cut(met.join(classes.select("class", "rep", "rows", "keys"), "class"))
     texts = docs.select(F.xxhash64(text_col).alias("_class"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = texts.join(members, (F.col("_class") == F.col("class")) & F.col("_id").eqNullSafe(F.col("rep")))
-    return verified(rows, packs, threshold)
+    reps = store.small(members.select(F.col("class").alias("_c"), "rep"))  # ids of some bytes
+    texts = texts.join(reps, (F.col("_class") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("rep"))).select(F.col("_class").alias("class"), "text")
+    facts = store.small(members.drop("rep"), 64 + 8 * 3 * TREES + 16 * 3 * TREES)
+    return verified(texts.join(facts, "class"), packs, threshold)
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

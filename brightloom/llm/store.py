@@ -88,13 +88,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, most)
 
 
-#: A table of at most so many rows, of a few numbers each, may be broadcast.
-BROADCAST_ROWS = 500_000
+#: A table of at most so many bytes may be broadcast.
+BROADCAST_BYTES = 24 << 20
 
 
-def small(df: DataFrame) -> DataFrame:
-    """`df` (cut before: it is counted) with a broadcast hint if it is below the bound; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, row_bytes: int = 48) -> DataFrame:
+    """`df` (cut before: it is counted) with a broadcast hint if rows of `row_bytes` at most keep it below the bound; else as it is, for a shuffled join."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def released() -> None:

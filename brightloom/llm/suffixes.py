@@ -114,17 +114,34 @@ def split(keys: np.ndarray, parts: int) -> list[np.ndarray]:
     return np.split(order, np.cumsum(np.bincount(part, minlength=parts))[:-1])
 
 
-def blocked(rows: DataFrame, parts: int) -> DataFrame:
-    """rows(doc_id, text): blocks of texts (part -1), and each block's distinct seeds with 1, or 2 if several rows have it."""
+ASKED = "block long, part int, seeds binary, times binary"
+
+
+def asked(block: int, keys: np.ndarray, times: np.ndarray, parts: int) -> pa.RecordBatch | None:
+    """A row for each part that has some of the block's keys."""
+    rows = [(block, p, keys[places].tobytes(), times[places].tobytes()) for p, places in enumerate(split(keys, parts)) if len(places)]
+    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "part", "seeds", "times"]) if rows else None
+
+
+def replied(asked: DataFrame, answer, name: str) -> DataFrame:
+    """For each block the answers to what it asked."""
+    replies = asked.groupBy("part").applyInArrow(store.lean_group(answer), "block long, part int, reply binary")
+    return replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias(name))
+
+
+def blocked(rows: DataFrame, parts: int, seeded: bool = True) -> DataFrame:
+    """rows(doc_id, text): blocks of texts (part -1), and, if wanted, each block's distinct seeds with 1, or 2 if several rows have it."""
     kind_name = rows.schema["doc_id"].dataType.simpleString()
 
     def flush(number, block, kind):
         me = (TaskContext.get().partitionId() << 32) + number
         ids, uids, texts = zip(*block, strict=True)
-        b = tokens.read(list(texts))
-        at, seed = selected(b.hashes(), b.ptr)
-        text = np.searchsorted(b.ptr, at, "right") - 1
-        keys, times = tally(seed, text)
+        keys, times = np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+        if seeded:
+            b = tokens.read(list(texts))
+            at, seed = selected(b.hashes(), b.ptr)
+            keys, times = tally(seed, np.searchsorted(b.ptr, at, "right") - 1)
         whole = b"".join(texts)
         rows = [(me, -1, ids, uids, [len(t) for t in texts], pa.compress(whole, "zstd", asbytes=True), len(whole), None, None)]
         for p, places in enumerate(split(keys, parts)):
@@ -202,11 +219,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = max(store.partitions(spark), rows.rdd.getNumPartitions())
     blocks = store.written(blocked(rows, parts), "snappy")
 
-    def replied(asked: DataFrame, answer, name: str) -> DataFrame:
-        replies = asked.groupBy("part").applyInArrow(store.lean_group(answer), "block long, part int, reply binary")
-        return replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias(name))
-
     known = store.cut(replied(blocks.where("part >= 0").select("block", "part", "seeds", "times"), answered, "replies"))
+    store.freed(spark)
     texts = blocks.where("part < 0").select("block", "ids", "uids", "lengths", "text", "size").join(known, "block")
 
     def found(row: dict) -> tuple[tokens.Batch, np.ndarray, np.ndarray, np.ndarray]:
@@ -222,12 +236,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for row in batch.to_pylist():
                 _, text, _, digest = found(row)
                 keys, times = tally(digest, text)
-                asked = [(row["block"], p, keys[places].tobytes(), times[places].tobytes()) for p, places in enumerate(split(keys, parts)) if len(places)]
-                if asked:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*asked, strict=True), [pa.int64(), pa.int32(), pa.binary(), pa.binary()], strict=True)], ["block", "part", "seeds", "times"])
-
-    asked = texts.select("block", "lengths", "text", "size", "replies").mapInArrow(store.lean(ask), "block long, part int, seeds binary, times binary")
-    texts = texts.join(replied(asked, placed, "says"), "block")
+                sent = asked(row["block"], keys, times, parts)
+                if sent:
+                    yield sent
+
+    sent = texts.select("block", "lengths", "text", "size", "replies").mapInArrow(store.lean(ask), ASKED)
+    says = store.cut(replied(sent, placed, "says"))
+    store.freed(spark)
+    texts = texts.join(says, "block")
 
     def spans(batches):
         for batch in batches:
