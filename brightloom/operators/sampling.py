@@ -29,11 +29,11 @@ def running(df: DataFrame, order: list[str], value: str, out: str, by: list[str]
     ranged = cut(df.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id()))
     sums = ranged.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
     upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(upto), F.lit(0.0)).alias("_until"))
-    same = [F.col("_range") == F.col("_r"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
+    before = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_range_of"), F.coalesce(F.sum("_sum").over(upto), F.lit(0.0)).alias("_until"))
+    same = [F.col("_range") == F.col("_range_of"), *[F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]]
     w = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.join(before if by else F.broadcast(before), same)  # without `by` one row a range: at most `ranges`
-    return joined.withColumn(out, F.col("_until") + F.coalesce(F.sum(value).over(w), F.lit(0.0))).drop("_range", "_r", "_until", *[f"_by_{c}" for c in by])
+    return joined.withColumn(out, F.col("_until") + F.coalesce(F.sum(value).over(w), F.lit(0.0))).drop("_range", "_range_of", "_until", *[f"_by_{c}" for c in by])
 
 
 def budget(df: DataFrame, order: list[str], value: str, target: float, by: list[str] | None = None) -> DataFrame:
