@@ -2,6 +2,7 @@
 
 import difflib
 import math
+import random
 
 import duckdb
 import pytest
@@ -85,3 +86,29 @@ def test_same_rows_for_any_partitioning(spark):
             assert sorted(map(tuple, plans.QUERIES[n](spark, SF).collect())) == before[n]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.fixture(scope="module")
+def dealt(spark, tmp_path_factory):
+    """Line items whose runs lie across three files, with values that are null or no number, and the SQL's view of them on one thread."""
+    folder = str(tmp_path_factory.mktemp("dealt"))
+    odd = [(9_000_000, 1, None, 0.04), (9_000_001, 1, math.nan, 0.01), (9_000_001, 2, 0.01, None), (9_000_002, 1, None, None), (None, 1, 0.09, 0.06)]
+    edge = [(0.04, 0.02), (0.06, 0.0), (0.02, 0.07), (0.06, 0.04), (0.05, 0.05), (0.06, 0.05), (0.0, 0.07), (0.04, 0.06), (0.09, 0.0), (0.05, 0.03)]  # means 0.047 and 0.039
+    for k in range(300):
+        odd += [(8_000_000 + k, i, *x) for i, x in enumerate(random.Random(k).sample(edge, len(edge)))]
+    rows = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    more = spark.createDataFrame(odd, "l_orderkey long, l_linenumber int, l_discount double, l_tax double")
+    rows.unionByName(more, allowMissingColumns=True).repartition(3).write.parquet(f"{folder}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET threads = 1; CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["run_stability"])
+def test_averages_are_summed_in_the_order_of_the_rows(spark, dealt, name):
+    """Averages at a threshold fall on either side of it by the order of their sums: the SQL's on one thread is that of files and rows."""
+    folder, con = dealt
+    got = plans.QUERIES[name](spark, folder)
+    want = con.execute(plans.ORACLES[name])
+    columns = [d[0] for d in want.description]
+    assert in_order(got.columns, got.collect()) == in_order(columns, want.fetchall())
