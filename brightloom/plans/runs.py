@@ -71,7 +71,7 @@ def run_stability(t: Tables) -> DataFrame:
 
 @query(f"""{C}, b AS (SELECT run, avg(wer) AS wer, avg(cer) AS cer FROM c GROUP BY ALL) SELECT run, wer < 0.05 - 0.003 OR (abs(wer - 0.05) <= 0.003 AND cer < 0.04 - 0.001) AS better FROM b""")
 def materially_better(t: Tables) -> DataFrame:
-    b = t.curve().groupBy("run").agg(F.avg("wer").alias("wer"), F.avg("cer").alias("cer"))
+    b = t.averages(wer=F.avg("wer"), cer=F.avg("cer"))
     return b.select("run", experiments.materially_better(F.col("wer"), F.col("cer"), F.lit(0.05), F.lit(0.04)).alias("better"))
 
 

@@ -104,7 +104,7 @@ def dealt(spark, tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["run_stability"])
+@pytest.mark.parametrize("name", ["run_stability", "materially_better"])
 def test_averages_are_summed_in_the_order_of_the_rows(spark, dealt, name):
     """Averages at a threshold fall on either side of it by the order of their sums: the SQL's on one thread is that of files and rows."""
     folder, con = dealt
