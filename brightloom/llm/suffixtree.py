@@ -13,9 +13,10 @@ sum of log10 P over its symbols. What is gathered has no bound but the corpus: c
 Counting: each task packs blocks of texts. A block sends its distinct words, then its distinct (context, symbol) pairs
 level by level, dealt by context, with their counts as packed arrays, and gets back the counts of the corpus and
 whether the context is retained. A pair's code has 32 bits for the context (within its part) and 24 for the symbol, and
-the suffix's log-probability enters the test rounded to 1 / GRAIN nat. A context with more than HOT occurrences is dealt
-over several parts by its symbols and retained without a test; there are fewer than N / HOT of these, and the numbers of
-their symbols are all that meets on the driver.
+the suffix's log-probability enters the test rounded to 1 / GRAIN nat. A context with SPREAD occurrences or more is dealt
+over several parts by its symbols. Its test is the same: each part sends how many of the symbols have each count and
+log-probability, and these are summed by context. There are at most N / SPREAD of these contexts, and for each the number of its symbols, or
+0, is all that meets on the driver. Where HOT is set, contexts of so many occurrences are retained without a test; by default none are.
 
 Defined cases: a null text is empty: only the end is scored; a null id trains; ids may have any type and repeat
 freely, each row is scored; a very long text is cut at spaces into segments that are summed, contexts reaching over
@@ -38,7 +39,7 @@ from . import store, tokens
 DEPTH = 2
 GAIN = 3.0
 GRAIN = 8
-HOT = 1 << 22
+SPREAD, HOT = 1 << 22, float("inf")
 BLOCK_BYTES = 4 << 20
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = np.uint64(0x5851F42D4C957F2D)
@@ -205,7 +206,7 @@ class Block:
             mine = self.order[self.bounds[reply["part"]] : self.bounds[reply["part"] + 1]]
             self.n[mine], kinds[mine] = grown_back(reply["n"], np.int64), grown_back(reply["kinds"], np.int64)
         for i in np.flatnonzero(self.hot):
-            kinds[i] = hot[int(self.code[i] >> np.uint64(24))]
+            kinds[i] = hot.get(int(self.code[i] >> np.uint64(24)), 0)
         own = self.p[self.first]
         own = np.where(kinds > 0, (self.n + kinds * own) / np.maximum(self.occurs + kinds, 1), own)
         self.p = self.p.copy()
@@ -244,26 +245,50 @@ def tested(keys: np.ndarray, n: np.ndarray, low: np.ndarray) -> tuple[np.ndarray
     own = (np.maximum(n - 1, 0) + others * p) / np.maximum(occurs[of] - 1 + others, 1)
     counts = (n > 0) & (occurs[of] > 1)
     gain = np.bincount(of[counts], n[counts] * np.log(own[counts] / p[counts]), len(first))
-    hot = context[first] >> np.uint64(39) > 0
-    return np.where(hot | ((occurs > 1) & (gain > GAIN)), kinds, 0)[of], first
+    return np.where((occurs > 1) & (gain > GAIN), kinds, 0)[of], first
 
 
 def answer_pairs(table: pa.Table) -> pa.Table:
-    """For each block's pairs, in the order asked, their counts and `tested`; and one row (block -1) of hot contexts and the symbols that this part has of them."""
+    """For each block's pairs, in the order asked, their counts and `tested`; and one row (block -1) of the trained pairs of hot contexts
+    that this part has: context, count, log-probability and how many pairs have these."""
     asked = [np.cumsum(grown_back(x.as_py(), np.uint64)) for x in table["codes"]]
     keys, first, at = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
     n = np.bincount(at, np.concatenate([grown_back(x.as_py(), np.int64) for x in table["counts"]]), len(keys)).astype(np.int64)
     low = np.concatenate([grown_back(x.as_py(), np.uint8) for x in table["suffix"]])[first]
-    kinds, begin = tested(keys, n, low)
+    kinds, _ = tested(keys, n, low)
     cuts, part = np.cumsum([len(a) for a in asked])[:-1], table["part"][0].as_py()
     replies = zip(table["block"], np.split(n[at], cuts), np.split(kinds[at], cuts), strict=True)
     rows = [(b.as_py(), part, shrunk(x), shrunk(y)) for b, x, y in replies]
-    hot = begin[keys[begin] >> np.uint64(63) > 0]
+    hot = np.flatnonzero((keys >> np.uint64(63) > 0) & (n > 0))
     if len(hot):
-        rows.append((-1, part, (keys[hot] >> np.uint64(24)).tobytes(), kinds[hot].tobytes()))
+        facts, times = np.unique(np.stack([(keys[hot] >> np.uint64(24)).astype(np.int64), n[hot], low[hot].astype(np.int64)]), axis=1, return_counts=True)
+        rows.append((-1, part, facts.tobytes(), times.astype(np.int64).tobytes()))
     return pa.Table.from_batches([batch_of(rows, REPLY, KINDS)])
 
 
+def hot_kinds(replies: DataFrame, least: float) -> dict[int, int]:
+    """`tested` for the contexts that are dealt over several parts: their numbers of symbols, 0 if not retained. least: occurrences from which all are."""
+
+    def told(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                context, n, low = np.frombuffer(row["n"], np.int64).reshape(3, -1)
+                columns = [pa.array(x) for x in (context, n, low, np.frombuffer(row["kinds"], np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["context", "n", "low", "pairs"])
+
+    facts = replies.where("block < 0").select("n", "kinds").mapInArrow(told, "context long, n long, low long, pairs long")
+    facts = store.cut(facts.groupBy("context", "n", "low").agg(F.sum("pairs").alias("pairs")))
+    totals = store.cut(facts.groupBy("context").agg(F.sum(F.col("n") * F.col("pairs")).alias("occurs"), F.sum("pairs").alias("symbols")))
+    c = F.col
+    p, others = F.exp(-c("low") / float(GRAIN)), c("symbols") - (c("n") == 1).cast("long")
+    own = (c("n") - 1 + others * p) / F.greatest(c("occurs") - 1 + others, F.lit(1))
+    gain = F.when(c("occurs") > 1, c("pairs") * c("n") * F.ln(own / p)).otherwise(0.0)
+    gains = facts.join(totals, "context").groupBy("context").agg(F.sum(gain).alias("gain"), F.first("occurs").alias("occurs"), F.first("symbols").alias("symbols"))
+    kept = ((c("occurs") > 1) & (c("gain") > GAIN)) | (c("occurs") >= F.lit(least))
+    rows = gains.select("context", F.when(kept, c("symbols")).otherwise(0).alias("kinds"))
+    return {r["context"]: r["kinds"] for r in rows.toLocalIterator()}
+
+
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of `docs`.
 
@@ -272,7 +297,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     store.bounded_batches(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 10 == 0, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held"), F.col(text_col).cast("binary").alias("text"))
-    parts = max(store.partitions(spark), rows.rdd.getNumPartitions())
+    parts, most = max(store.partitions(spark), rows.rdd.getNumPartitions()), int(min(SPREAD, HOT))
     blocks = store.written(packed(rows), "uncompressed")
 
     def replied(asked: DataFrame, answer) -> DataFrame:
@@ -286,7 +311,7 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def ask_words(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, parts, HOT)
+                b = Block(row, parts, most)
                 count = np.bincount(b.at, b.trains, len(b.words)).astype(np.int64)
                 places = [(p, x) for p, x in enumerate(split(b.word_part(), parts)) if len(x)]
                 asked = [(b.number, p, b.words[x].tobytes(), shrunk(count[x]), None) for p, x in places]
@@ -302,22 +327,18 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         def ask(batches, level=level, hot=tuple(hot)):
             for batch in batches:
                 for row in batch.to_pylist():
-                    asked = Block(row, parts, HOT).known(row, level, n, v, hot).asks()
+                    asked = Block(row, parts, most).known(row, level, n, v, hot).asks()
                     if asked:
                         yield batch_of(asked, ASKED, KINDS)
 
         replies = replied(joined.mapInArrow(store.lean(ask), ASKED), answer_pairs)
-        found: dict[int, int] = {}
-        for r in replies.where("block < 0").select("n", "kinds").toLocalIterator():
-            for context, kinds in zip(np.frombuffer(r["n"], np.uint64).tolist(), np.frombuffer(r["kinds"], np.int64).tolist(), strict=True):
-                found[context] = found.get(context, 0) + kinds
-        hot.append(found)
+        hot.append({} if replies.where("block < 0").isEmpty() else hot_kinds(replies, HOT))
         joined = joined.join(listed(replies, f"r{level}"), "block", "left")
 
     def score(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, parts, HOT)
+                b = Block(row, parts, most)
                 b.learn_words(row["r0"], n, v)
                 of, count = b.of[b.scored], len(b.sizes)
                 total = lambda x: np.bincount(of, x[b.scored], count)  # noqa: B023, E731

@@ -423,6 +423,19 @@ def test_suffix_tree_of_hot_contexts(spark, monkeypatch):
     assert all(got[d]["score"] == pytest.approx(score[d], rel=1e-9) for d in texts)
 
 
+def test_suffix_tree_tests_contexts_that_are_dealt_over_parts(spark, monkeypatch):
+    """Scores do not depend on the number of occurrences from which a context is dealt over parts."""
+    r = random.Random(2)
+    texts = {i: " ".join(r.choice("abcde") + r.choice("xy") for _ in range(r.randint(0, 30))) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    words = folded_words(texts)
+    score = tree_scores(words, {d for d in texts if zlib.crc32(str(d).encode()) % 10 == 0})[2]
+    for most in (3, 1 << 22):
+        monkeypatch.setattr(suffixtree, "SPREAD" if hasattr(suffixtree, "SPREAD") else "HOT", most)
+        got = by_id(suffixtree.scored(df))
+        assert all(got[d]["score"] == pytest.approx(score[d], rel=1e-9) for d in texts)
+
+
 def test_suffix_tree_tells_texts_that_occur_twice(spark):
     texts = {i: prose(i, 150) for i in range(120)} | {500 + i: prose(i, 150) for i in range(10)}
     got = by_id(suffixtree.scored(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
