@@ -200,6 +200,7 @@ def collided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*sent, strict=True), kinds, strict=True)], ["block", "part", "keys", "flags", "prints"])
 
+    path = store.tables[-1]
     known = store.cut(suffixes.replied(blocks.select("block", "lengths", "text", "size").mapInArrow(store.lean(ask), ASKED), answered, "replies"))
     store.freed(spark)
 
@@ -226,18 +227,34 @@ def collided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     schema = f"doc_id {kind}, uid long, start long, end long, digest long, keys array<long>, words binary"
     found = store.written(blocks.join(known, "block").select("ids", "uids", "lengths", "text", "size", "replies").mapInArrow(store.lean(take), schema))
+    store.delete(spark, path)
+    del known
     store.freed(spark)
     return found
 
 
-def clusters(found: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(digest, cluster) of the paragraphs that are similar to a different one."""
+def clusters(found: DataFrame, threshold: float = THRESHOLD, path: str | None = None) -> DataFrame:
+    """(digest, cluster) of the paragraphs that are similar to a different one. Each step's table is deleted once the next is written, `found` too where its path is given."""
+    spark = found.sparkSession
     facts = [F.first(F.col("end") - F.col("start")).alias("n_shingles"), F.first("keys").alias("keys"), F.first("words").alias("text")]
     texts = store.written(found.where("keys IS NOT NULL").groupBy(F.col("digest").alias("class")).agg(*facts))
+    old = [store.tables[-1]]
+    if path:
+        store.delete(spark, path)
+    store.freed(spark)
     met, packs = jaccard.colliding(texts.select("class", "n_shingles", F.array_distinct("keys").alias("keys")))
-    rows = texts.withColumn("rows", F.lit(1).cast("long")).join(store.cut(met), "class")
+    met = store.written(met)
+    old.append(store.tables[-1])
+    store.freed(spark)
+    rows = store.written(texts.withColumn("rows", F.lit(1).cast("long")).join(met, "class").drop("n_shingles"))
+    for table in old:
+        store.delete(spark, table)
+    old = store.tables[-1]
+    del texts, met
+    store.freed(spark)
     linked = store.cut(jaccard.verified(rows, packs, threshold))
-    store.freed(found.sparkSession)
+    store.delete(spark, old)
+    store.freed(spark)
     return graph.components(linked.select(F.col("class").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("_digest"), F.col("root").alias("cluster"))
 
 
@@ -246,8 +263,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     (those that are not the first occurrence of their cluster) and the least cluster in it."""
     store.bounded_batches(docs.sparkSession)
     found = collided(docs, id_col, text_col)
-    marked = found.select("doc_id", "uid", "start", "end", "digest")
-    linked = store.cut(clusters(found))
+    path = store.tables[-1]
+    marked = store.written(found.select("doc_id", "uid", "start", "end", "digest"))
+    linked = store.cut(clusters(found, path=path))
     store.freed(docs.sparkSession)
     marked = marked.join(store.small(linked), F.col("digest") == F.col("_digest"), "left").withColumn("cluster", F.coalesce("cluster", "digest"))
     marked = marked.select("doc_id", "uid", "start", "end", "cluster")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brightloom.llm import decontaminate, jaccard, mix, paragraphs, quality, queries, shard, suffixes, suffixtree, tokens, toxicity, urlrank
+from brightloom.llm import decontaminate, jaccard, mix, paragraphs, quality, queries, shard, store, suffixes, suffixtree, tokens, toxicity, urlrank
 
 from .conftest import LONG, prose
 
@@ -696,3 +696,12 @@ def test_pipeline(spark, texts):
             assert not any(i in r["text"] for r in out.collect() for i in items)
         docs, before = out, n
     assert corpus_pipeline.run(spark, SF).count() == before
+
+
+def test_paragraphs_leave_one_table(spark, passages):
+    """A step's table is deleted once the next one is written, so that disk does not hold them all."""
+    texts, _ = passages
+    before = list(store.tables)
+    out = paragraphs.repeated(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
+    assert len([x for x in store.tables if x not in before]) == 1
+    assert out.count() > 0
